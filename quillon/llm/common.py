@@ -54,10 +54,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         ends = near(links, True)
         least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ends.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = ends.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = tidy(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(tidy(small.union(least.select("u", F.col("m").alias("v")))))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -67,7 +67,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components: not done after {rounds} rounds")
     flat = links.groupBy("u").agg(F.min("v").alias("component"))
     every = near(nodes, True).select(F.col("u").alias("node")).distinct()
-    return every.join(flat.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return every.join(flat.withColumnRenamed("u", "node").hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def groups(batches, keys: int):

@@ -191,11 +191,11 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     counts = filed.groupBy(*cell).agg(F.count_if(F.col("_filed")).alias("_f"), F.count_if(~F.col("_filed")).alias("_q"))
     # cells that hold nothing, or nothing but their only visitor, need no look
     counts = counts.where("_f > 0 and _q > 0 and not (_f = 1 and _q = 1)").select(*cell, F.ceil(F.col("_f") / tile).cast("int").alias("_ft"), F.ceil(F.col("_q") / tile).cast("int").alias("_qt"))
-    placed = filed.join(counts, cell)
+    placed = filed.join(counts.hint("merge"), cell)
     mine = lambda n: F.pmod(F.xxhash64("_id", F.lit(5)), F.col(n)).cast("int")
     as_filed = placed.where("_filed").select("*", mine("_ft").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_qt") - 1)).alias("_b"))
     as_query = placed.where("not _filed").select("*", F.explode(F.sequence(F.lit(0), F.col("_ft") - 1)).alias("_a"), mine("_qt").alias("_b"))
-    tiles = as_filed.unionByName(as_query).join(members.select("_id", "_vec"), "_id").select(*cell, "_a", "_b", "_filed", "_id", "_weight", "_vec")
+    tiles = as_filed.unionByName(as_query).join(members.select("_id", "_vec").hint("merge"), "_id").select(*cell, "_a", "_b", "_filed", "_id", "_weight", "_vec")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 5):
@@ -207,11 +207,11 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     verified = cut(ordered.mapInArrow(verify, "_id long, _links long, _least long"))
     links = verified.groupBy("_id").agg(F.sum("_links").alias("_links"))
     parts = components(verified.select(F.col("_id").alias("u"), F.col("_least").alias("v")))
-    found = members.join(links, "_id", "left").join(parts.withColumnRenamed("node", "_id"), "_id", "left")
+    found = members.join(links.hint("merge"), "_id", "left").join(parts.withColumnRenamed("node", "_id").hint("merge"), "_id", "left")
     found = found.select("_label", "_dim", "_vec", (F.col("_weight") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), F.coalesce("component", "_id").alias("component_id"))
     spread = found.where("n_links > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
-    chosen = packed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(16)).cast("int")).join(spread, ["_label", "_dim", "_vec", "_salt"]).select("_id", "n_links", "component_id")
-    return rows.select("_id").join(chosen, "_id", "left").select(
+    chosen = packed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(16)).cast("int")).join(spread.hint("merge"), ["_label", "_dim", "_vec", "_salt"]).select("_id", "n_links", "component_id")
+    return rows.select("_id").join(chosen.hint("merge"), "_id", "left").select(
         F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True)).alias("kept"),
     )

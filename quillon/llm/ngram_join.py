@@ -191,9 +191,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     buckets = members.select("_id", F.posexplode("_bands").alias("_band", "_key"))
     comps = components(star(buckets, ["_band", "_key"]))
     per = comps.groupBy("component").agg(F.count("*").alias("_size")).select(F.col("component").alias("_g"), F.ceil(F.col("_size") / tile).cast("int").alias("_tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    placed = comps.select(F.col("node").alias("_id"), F.col("component").alias("_g"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt")).join(per, ["_g", "_salt"])
+    placed = comps.select(F.col("node").alias("_id"), F.col("component").alias("_g"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt")).join(per.hint("merge"), ["_g", "_salt"])
     placed = placed.withColumn("_tile", F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_tiles")).cast("int"))
-    placed = placed.join(members.select("_id", "_weight", "_d1", "_d2"), "_id")
+    placed = placed.join(members.select("_id", "_weight", "_d1", "_d2").hint("merge"), "_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +207,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
                 right = pa.array(digest == rest.column(6).to_numpy())
                 yield pa.RecordBatch.from_arrays([*(rest.column(k) for k in range(1, 6)), values], names=["_id", "_g", "_tile", "_tiles", "_weight", "_set"]).filter(right)
 
-    own = texts.join(placed, "_id").select("_text", "_id", "_g", "_tile", "_tiles", "_weight", "_d1")
+    own = texts.join(placed.hint("merge"), "_id").select("_text", "_id", "_g", "_tile", "_tiles", "_weight", "_d1")
     full = own.mapInArrow(sets, "_id long, _g long, _tile int, _tiles int, _weight long, _set binary")
     full = full.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
     full = full.select("_g", F.least("_tile", "_other").alias("_a"), F.greatest("_tile", "_other").alias("_b"), "_id", "_tile", "_weight", "_set")
@@ -221,12 +221,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     verified = cut(tiles.mapInArrow(verify, "_id long, _links long, _least long").where("_links > 0"))
     links = verified.groupBy("_id").agg(F.sum("_links").alias("_links"))
     classes = components(verified.select(F.col("_id").alias("u"), F.col("_least").alias("v")))
-    found = members.select("_d1", "_d2", "_id", "_weight").join(links, "_id", "left").join(classes.withColumnRenamed("node", "_id"), "_id", "left")
+    found = members.select("_d1", "_d2", "_id", "_weight").join(links.hint("merge"), "_id", "left").join(classes.withColumnRenamed("node", "_id").hint("merge"), "_id", "left")
     found = found.select("_d1", "_d2", (F.col("_weight") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), F.coalesce("component", "_id").alias("class_id"))
     # back to the rows: classes of one document need no join on a digest that others share
     spread = found.where("n_links > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
-    chosen = known.select("_id", "_d1", "_d2", F.pmod(F.xxhash64("_id"), F.lit(16)).cast("int").alias("_salt")).join(spread, ["_d1", "_d2", "_salt"]).select("_id", "n_links", "class_id")
-    return every.select("_id").join(chosen, "_id", "left").select(
+    chosen = known.select("_id", "_d1", "_d2", F.pmod(F.xxhash64("_id"), F.lit(16)).cast("int").alias("_salt")).join(spread.hint("merge"), ["_d1", "_d2", "_salt"]).select("_id", "n_links", "class_id")
+    return every.select("_id").join(chosen.hint("merge"), "_id", "left").select(
         F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "_id").alias("class_id"),
         F.coalesce(F.col("class_id") == F.col("_id"), F.lit(True)).alias("kept"),
     )
@@ -235,4 +235,4 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stand for their class, all columns as they were."""
     gone = jaccard_classes(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")

@@ -157,7 +157,21 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = 360, ba
     toxic = np.asarray(toxic, np.float32)
     if not 0 < toxic.sum() < len(toxic):
         return model
-    words, counts = hashes(texts)
+    parts, pairs, held_over, size = [], [], [], 0
+    for i, text in enumerate(texts):  # in slices, as prefix sums take far more than the text
+        held_over.append(text)
+        size += len(text)
+        if size >= 1_000_000 or i == len(texts) - 1:
+            own, n = hashes(held_over)
+            at = np.repeat(np.arange(i + 1 - len(held_over), i + 1), n)
+            parts.append((own, n))
+            for k in range(own.shape[1]):
+                order = np.lexsort((own[:, k], at))
+                a, w = at[order], own[order, k]
+                fresh = np.r_[True, (w[1:] != w[:-1]) | (a[1:] != a[:-1])][: len(w)]
+                pairs.append((a[fresh].astype(np.int32), w[fresh]))
+            held_over, size = [], 0
+    words, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     stop = np.cumsum(counts)
     order = rng.permutation(len(texts))
     held = np.zeros(len(texts), bool)
@@ -166,13 +180,11 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = 360, ba
         held[own[: len(own) // 5]] = True
     learn = np.flatnonzero(~held)
     # features of at least two training texts get buckets, the more telling first
-    text = np.repeat(np.arange(len(texts)), counts)
-    known = ~held[text]
-    pair_text, pair_word = np.repeat(text[known], 3), words[known].ravel()
-    order = np.lexsort((pair_text, pair_word))
+    pair_text, pair_word = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    del parts, pairs
+    pair_text, pair_word = pair_text[~held[pair_text]], pair_word[~held[pair_text]]
+    order = np.argsort(pair_word, kind="stable")
     pair_text, pair_word = pair_text[order], pair_word[order]
-    fresh = np.r_[True, (pair_word[1:] != pair_word[:-1]) | (pair_text[1:] != pair_text[:-1])][: len(pair_word)]
-    pair_text, pair_word = pair_text[fresh], pair_word[fresh]
     feature, first = np.unique(pair_word, return_index=True)
     y, n1 = toxic[learn], 0.0
     if len(feature):
@@ -244,7 +256,7 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -252,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
     return fit(got["_text"].to_pylist(), got["_y"].to_numpy())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id_col, held_out, score, predicted, then the columns named in carry."""
     from .bpe import slices
 

@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-EVERY = Window.partitionBy()
-
 
 def clip(c: Column, low: Column, high: Column) -> Column:
     """Within the bounds; null stays null."""
@@ -28,15 +26,18 @@ def digitize(c: Column, edges: list[Column]) -> Column:
     return sum(((c >= e).cast("int") for e in edges), F.lit(0))
 
 
-def min_max(c: Column, over=EVERY) -> Column:
+def min_max(c: Column, over=None) -> Column:
+    over = over or Window.partitionBy()
     return F.try_divide(c - F.min(c).over(over), F.max(c).over(over) - F.min(c).over(over))
 
 
-def z_score(c: Column, over=EVERY, population: bool = True) -> Column:
+def z_score(c: Column, over=None, population: bool = True) -> Column:
+    over = over or Window.partitionBy()
     return F.try_divide(c - F.avg(c).over(over), (F.stddev_pop if population else F.stddev_samp)(c).over(over))
 
 
-def robust(c: Column, over=EVERY) -> Column:
+def robust(c: Column, over=None) -> Column:
+    over = over or Window.partitionBy()
     p = lambda q: F.percentile(c, q).over(over)
     return F.try_divide(c - p(0.5), p(0.75) - p(0.25))
 

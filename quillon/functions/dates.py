@@ -44,7 +44,7 @@ def season(c: Column) -> Column:
 
 
 def age_hours(c: Column, as_of: Column) -> Column:
-    return (F.unix_micros(as_of) - F.unix_micros(c)) / F.lit(3.6e9)
+    return (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(c.cast("timestamp"))) / F.lit(3.6e9)
 
 
 def since(c: Column, as_of: Column) -> dict[str, Column]:

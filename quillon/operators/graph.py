@@ -14,7 +14,7 @@ def depths(df: DataFrame, node: str, parent: str, most: int = 100) -> DataFrame:
     level = edges.where("p is null").select("n", F.lit(0).alias("depth")).distinct()
     out = level
     for k in range(1, most + 1):
-        level = edges.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(k).alias("depth")).distinct()
+        level = edges.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(k).alias("depth")).distinct().persist()
         if level.isEmpty():
             break
         out = out.unionAll(level)
@@ -23,11 +23,11 @@ def depths(df: DataFrame, node: str, parent: str, most: int = 100) -> DataFrame:
 
 def reachable(edges: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
     """(source, target, hops): the shortest number of steps between all connected nodes."""
-    step = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()
+    step = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct().persist()
     known = step.select("a", "b", F.lit(1).alias("hops"))
     front = known
     for k in range(2, most + 1):
-        front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(k).alias("hops"))
+        front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(k).alias("hops")).persist()
         if front.isEmpty():
             break
         known = known.unionAll(front)

@@ -74,8 +74,9 @@ def report(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def violations(df: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     """(key, rule, severity) of every failure."""
-    named = F.array(*[F.when(r.fails, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules])
-    return df.select(F.col(key), F.explode(F.filter(named, lambda x: x.isNotNull())).alias("_v")).select(key, "_v.*")
+    flagged = df.select(F.col(key), *[r.fails.alias(f"_{i}") for i, r in enumerate(rules)])
+    named = F.array(*[F.when(F.col(f"_{i}"), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))) for i, r in enumerate(rules)])
+    return flagged.select(F.col(key), F.explode(F.filter(named, lambda x: x.isNotNull())).alias("_v")).select(key, "_v.*")
 
 
 def summary(found: DataFrame, key: str) -> DataFrame:

@@ -114,7 +114,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     per = both.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     run = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(every) - F.sum("b").over(run) / F.sum("b").over(every))
+    gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(every)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(every)))
     return per.select(gap.alias("d")).agg(F.max("d").alias("ks"))
 
 

@@ -26,7 +26,7 @@ def gaps(df: DataFrame, ts: str, unit: str) -> DataFrame:
 def gap_islands(df: DataFrame, ts: str, unit: str, seconds: int) -> DataFrame:
     """(start, end, missing) of runs of bins without rows."""
     w = Window.orderBy("bin")
-    runs = gaps(df, ts, unit).withColumn("_run", F.unix_timestamp("bin") - F.row_number().over(w) * seconds)
+    runs = gaps(df, ts, unit).withColumn("_run", F.unix_timestamp(F.col("bin").cast("timestamp")) - F.row_number().over(w) * seconds)
     return runs.groupBy("_run").agg(F.min("bin").alias("start"), F.max("bin").alias("end"), F.count("*").alias("missing")).drop("_run")
 
 
@@ -56,6 +56,14 @@ def rolling(column: str, size: int, order: str, how, keys: list[str] | None = No
     return F.when(F.count(column).over(w) >= least, how(F.col(column)).over(w))
 
 
+def rolling_corr(a: str, b: str, size: int, order: str) -> Column:
+    """Correlation over the ``size`` rows before each row; null where they are fewer or a side doesn't vary."""
+    w = Window.orderBy(order).rowsBetween(-size, -1)
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    r = F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+    return F.when(F.count(a).over(w) == size, r)
+
+
 def ewma(df: DataFrame, key: str, column: str, order: str, alpha: float) -> DataFrame:
     """(key, order, ewma) with the first value as start, one array a key.
 
@@ -69,7 +77,7 @@ def ewma(df: DataFrame, key: str, column: str, order: str, alpha: float) -> Data
 
 def infer_frequency(df: DataFrame, ts: str) -> DataFrame:
     """One row: frequency by the median step."""
-    steps = df.select(((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(Window.orderBy(ts)))) / 1e6).alias("s"))
+    steps = df.select(((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(Window.orderBy(ts)))) / 1e6).alias("s"))
     m = F.median("s")
     return steps.agg(F.when(m < 120, "T").when(m < 7200, "H").when(m < 2 * 86400, "D").when(m < 8 * 86400, "W").when(m < 35 * 86400, "M").otherwise("Y").alias("frequency"))
 

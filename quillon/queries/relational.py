@@ -134,7 +134,7 @@ add("win_quantile_bins", lambda t: features.quantile_bins(t.supplier, "s_acctbal
 SW = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 add("win_cumulative", lambda t: t.orders.select("o_orderkey", *[F.round(f("o_totalprice").over(per_customer().rowsBetween(W.unboundedPreceding, 0)), 6).alias(n) for n, f in (("s", F.sum), ("m", F.max), ("a", F.avg))]), f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 6) AS s, round(max(o_totalprice) OVER w, 6) AS m, round(avg(o_totalprice) OVER w, 6) AS a FROM orders WINDOW w AS ({SW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 add("win_lags", lambda t: t.orders.select("o_orderkey", F.lag("o_totalprice", 1).over(per_customer()).alias("lag1"), F.lead("o_totalprice", 1).over(per_customer()).alias("lead1"), r2(c("o_totalprice") - F.lag("o_totalprice", 1).over(per_customer())).alias("diff"), F.round(F.try_divide(c("o_totalprice"), F.lag("o_totalprice", 1).over(per_customer())) - 1, 6).alias("pct")), f"SELECT o_orderkey, lag(o_totalprice) OVER w AS lag1, lead(o_totalprice) OVER w AS lead1, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS diff, round(o_totalprice / lag(o_totalprice) OVER w - 1, 6) AS pct FROM orders WINDOW w AS ({SW})")
-add("win_cumprod", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", (F.round(F.exp(F.sum(F.ln(1 + c("l_tax"))).over(W.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(W.unboundedPreceding, 0))) - 1, 6) + 0.0).alias("growth")), "SELECT l_orderkey, l_linenumber, round(exp(sum(ln(1 + l_tax)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)) - 1, 6) + 0.0 AS growth FROM lineitem")
+add("win_cumprod", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.abs(F.round(F.exp(F.sum(F.ln(1 + c("l_tax"))).over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_tax").rowsBetween(W.unboundedPreceding, 0))) - 1, 6)).alias("growth")), "SELECT l_orderkey, l_linenumber, abs(round(exp(sum(ln(1 + l_tax)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax ROWS UNBOUNDED PRECEDING)) - 1, 6)) AS growth FROM lineitem")
 add("win_group_percentile", lambda t: t.lineitem.withColumn("p", F.percentile("l_extendedprice", 0.95).over(W.partitionBy("l_returnflag"))).where("l_extendedprice > p").select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT l_returnflag AS f, quantile_cont(l_extendedprice, 0.95) AS p FROM lineitem GROUP BY 1) ON l_returnflag = f WHERE l_extendedprice > p")
 add("win_within_std", lambda t: t.orders.withColumn("z", num.z_score(c("o_totalprice"), population=False)).where("abs(z) <= 2").select("o_orderkey"), "SELECT o_orderkey FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) WHERE abs(o_totalprice - m) <= 2 * s")
 add("win_group_total", lambda t: t.orders.select("o_orderkey", r2(F.sum("o_totalprice").over(W.partitionBy("o_custkey"))).alias("ltv")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS ltv FROM orders")

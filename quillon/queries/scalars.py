@@ -83,7 +83,7 @@ add("dt_parse_coerce", lambda t: t.spark.createDataFrame([(0, "2023-01-31"), (1,
 add("dt_parse_formats", lambda t: t.spark.createDataFrame([(0, "2023-01-31"), (1, "31/12/2022"), (2, "12/31/2022"), (3, "20230131"), (4, "Jan 05, 2024"), (5, "x")], "i int, s string").select("i", dates.parse_date(c("s")).alias("d")), "SELECT * FROM (VALUES (0, DATE '2023-01-31'), (1, DATE '2022-12-31'), (2, DATE '2022-12-31'), (3, DATE '2023-01-31'), (4, DATE '2024-01-05'), (5, NULL)) v(i, d)")
 add("dt_names_and_formats", lambda t: t.orders.select("o_orderkey", F.date_format(D, "EEEE").alias("day"), F.date_format(D, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format(D, "HH").alias("hour")), "SELECT o_orderkey, dayname(o_orderdate) AS day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(o_orderdate, '%H') AS hour FROM orders")
 add("dt_periods", lambda t: t.orders.select("o_orderkey", F.to_date(F.date_trunc("month", D)).alias("month"), dates.week_end(c(D)).alias("week_end")), "SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS month, (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::DATE AS week_end FROM orders")
-add("dt_cyclic", lambda t: t.orders.select("o_orderkey", *[F.round(x, 6).alias(n) for n, x in zip(("s", "k"), dates.cyclic(F.month(D), 12), strict=True)]), "SELECT o_orderkey, round(sin(month(o_orderdate) * (2 * pi() / 12)), 6) AS s, round(cos(month(o_orderdate) * (2 * pi() / 12)), 6) AS k FROM orders")
+add("dt_cyclic", lambda t: t.orders.select("o_orderkey", *[(F.round(x, 6) + F.lit(0.0)).alias(n) for n, x in zip(("s", "k"), dates.cyclic(F.month(D), 12), strict=True)]), "SELECT o_orderkey, round(sin(month(o_orderdate) * (2 * pi() / 12)), 6) + 0.0::DOUBLE AS s, round(cos(month(o_orderdate) * (2 * pi() / 12)), 6) + 0.0::DOUBLE AS k FROM orders")
 add("dt_since", lambda t: t.orders.select("o_orderkey", *[v.alias(k) for k, v in dates.since(c(D), F.lit("1999-01-01").cast("date")).items()]), "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS days, trunc(date_diff('day', o_orderdate::DATE, DATE '1999-01-01') / 7)::INT AS weeks, 1999 - year(o_orderdate) AS years FROM orders")
 add("dt_arithmetic", lambda t: t.orders.select("o_orderkey", F.date_add(F.to_date(D), 7).alias("d7"), F.add_months(F.to_date(D), 1).alias("m1")), "SELECT o_orderkey, (o_orderdate::DATE + 7)::DATE AS d7, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS m1 FROM orders")
 add("dt_age_hours", lambda t: t.events.agg(F.round(dates.age_hours(F.max("ts"), F.lit("2030-01-01").cast("timestamp")), 4).alias("age")), "SELECT round((epoch(TIMESTAMP '2030-01-01') - epoch(max(ts))) / 3600, 4) AS age FROM events")

@@ -61,7 +61,7 @@ add("prj_digitize", lambda t: t.orders.select("o_orderkey", num.digitize(c("o_to
 
 # --- joins
 add("join_inner", lambda t: t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-add("join_star", lambda t: t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.customer, c("o_custkey") == c("c_custkey")).join(t.nation, c("c_nationkey") == c("n_nationkey")).where("o_totalprice > 100000").groupBy("n_name").agg(r2(F.sum(revenue())).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders")), f"SELECT n_name, round(sum({REV}), 2) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 100000 GROUP BY n_name")
+add("join_star", lambda t: t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.customer, c("o_custkey") == c("c_custkey")).join(t.nation, c("c_nationkey") == c("n_nationkey")).where("o_totalprice > 100000").groupBy("n_name").agg(F.round(F.sum(revenue()), 4).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders")), f"SELECT n_name, round(sum({REV}), 4) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 100000 GROUP BY n_name")
 add("join_merge_suffixes", lambda t: joins.merge(t.customer.select(c("c_nationkey").alias("key"), c("c_name").alias("name")), t.supplier.select(c("s_nationkey").alias("key"), c("s_name").alias("name")), ["key"]), "SELECT c_nationkey AS key, c_name AS name_x, s_name AS name_y FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 add("join_left", lambda t: t.customer.join(t.orders.where("o_totalprice > 300000"), c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "o_orderkey"), "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey")
 add("join_child_totals", lambda t: t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey")).groupBy("o_orderkey").agg(r2(F.sum(c("l_quantity") * c("l_extendedprice"))).alias("total"), F.count("*").alias("n_items")), "SELECT o_orderkey, round(sum(l_quantity * l_extendedprice), 2) AS total, count(*) AS n_items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -80,7 +80,7 @@ add("join_best_match", lambda t: joins.best_match(t.customer.select("c_custkey",
 
 # --- aggregations
 add("agg_counts", lambda t: t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(c("o_orderstatus") == "F").alias("n_filled"), F.sum(F.when(c("o_totalprice") > 100000, 1).otherwise(0)).alias("n_large"), F.countDistinct("o_custkey").alias("n_customers"), F.count(F.when(c("o_totalprice") > 200000, 1)).alias("n_top")), "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_filled, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::BIGINT AS n_large, count(DISTINCT o_custkey) AS n_customers, count(CASE WHEN o_totalprice > 200000 THEN 1 END) AS n_top FROM orders GROUP BY 1")
-add("agg_named_rounded", lambda t: t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(r2(F.sum("l_quantity")).alias("sum_qty"), r2(F.sum(revenue())).alias("revenue"), r2(F.avg("l_extendedprice")).alias("avg_price"), F.min("l_discount").alias("min_disc"), F.max("l_discount").alias("max_disc"), F.count("*").alias("n")), f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({REV}), 2) AS revenue, round(avg(l_extendedprice), 2) AS avg_price, min(l_discount) AS min_disc, max(l_discount) AS max_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")
+add("agg_named_rounded", lambda t: t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(r2(F.sum("l_quantity")).alias("sum_qty"), F.round(F.sum(revenue()), 4).alias("revenue"), r2(F.avg("l_extendedprice")).alias("avg_price"), F.min("l_discount").alias("min_disc"), F.max("l_discount").alias("max_disc"), F.count("*").alias("n")), f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({REV}), 4) AS revenue, round(avg(l_extendedprice), 2) AS avg_price, min(l_discount) AS min_disc, max(l_discount) AS max_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")
 add("agg_over_aggregates", lambda t: t.lineitem.groupBy("l_linestatus").agg(r2(F.max("l_extendedprice") - F.min("l_extendedprice")).alias("span"), r2(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("unit")), "SELECT l_linestatus, round(max(l_extendedprice) - min(l_extendedprice), 2) AS span, round(sum(l_extendedprice) / sum(l_quantity), 2) AS unit FROM lineitem GROUP BY 1")
 add("agg_quantiles", lambda t: t.orders.groupBy("o_orderstatus").agg(r2(F.median("o_totalprice")).alias("median"), *[r2(F.percentile("o_totalprice", q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.75, 0.95)]), "SELECT o_orderstatus, round(median(o_totalprice), 2) AS median, round(quantile_cont(o_totalprice, 0.05), 2) AS p5, round(quantile_cont(o_totalprice, 0.25), 2) AS p25, round(quantile_cont(o_totalprice, 0.75), 2) AS p75, round(quantile_cont(o_totalprice, 0.95), 2) AS p95 FROM orders GROUP BY 1")
 add("agg_quantile_exclusive", lambda t: t.supplier.agg(F.array_sort(F.collect_list("s_acctbal")).alias("v")).select(*[r2(stats.quantile_exclusive(c("v"), q)).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75), 1)]), "WITH s AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) AS i, count(*) OVER () AS n FROM supplier), " + ", ".join(f"k{j} AS (SELECT max(CASE WHEN i = floor((n + 1) * {q}) THEN x END) AS lo, max(CASE WHEN i = floor((n + 1) * {q}) + 1 THEN x END) AS hi, max((n + 1) * {q} - floor((n + 1) * {q})) AS f FROM s)" for j, q in enumerate((0.25, 0.5, 0.75), 1)) + " SELECT " + ", ".join(f"round(k{j}.lo + k{j}.f * (k{j}.hi - k{j}.lo), 2) AS q{j}" for j in (1, 2, 3)) + " FROM k1, k2, k3")

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .totals import exact_quantiles, with_totals
+
+
+def scale(df: DataFrame, column: str, how: str, out: str) -> DataFrame:
+    """Column out: min_max, z (population), z_sample or robust; null where the column does not vary."""
+    c = F.col(column)
+    if how == "robust":
+        q1, mid, q3 = exact_quantiles(df, column, [0.25, 0.5, 0.75])
+        return df.withColumn(out, F.try_divide(c - F.lit(mid), F.lit(q3) - F.lit(q1)))
+    by = {"min_max": (F.min(c), F.max(c) - F.min(c)), "z": (F.avg(c), F.stddev_pop(c)), "z_sample": (F.avg(c), F.stddev_samp(c))}
+    at, unit = by[how]
+    return with_totals(df, _at=at, _unit=unit).withColumn(out, F.try_divide(c - F.col("_at"), "_unit")).drop("_at", "_unit")
+
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Codes from 0 in the order of values; null stays null."""
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), F.dense_rank().over(Window.orderBy(F.col(column).asc_nulls_last())) - 1))
+    """Codes from 0 in the order of values; null stays null.  Only distinct values are ordered."""
+    book = codes(df, column).withColumnsRenamed({"value": "_value", "code": out})
+    return df.join(book, F.col(column) == F.col("_value"), "left").drop("_value")
 
 
 def one_hot(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -33,8 +47,8 @@ def frequency_encode(df: DataFrame, column: str) -> DataFrame:
 
 def group_rare(df: DataFrame, column: str, least: float, other: str = "__RARE__") -> DataFrame:
     """Values with a smaller share than ``least`` become one."""
-    share = F.count("*").over(Window.partitionBy(column)) / F.count("*").over(Window.partitionBy())
-    return df.withColumn(column, F.when(share < least, other).otherwise(F.col(column)))
+    rare = frequency_encode(df, column).where(F.col("frequency") < least).select(F.col(column).alias("_rare"))
+    return df.join(rare, F.col(column).eqNullSafe(F.col("_rare")), "left").withColumn(column, F.when(F.col("_rare").isNotNull(), other).otherwise(F.col(column))).drop("_rare")
 
 
 def treat_outliers(column: str, low: Column, high: Column, how: str) -> Column:
@@ -51,12 +65,19 @@ def treat_outliers(column: str, low: Column, high: Column, how: str) -> Column:
 
 def fill(df: DataFrame, column: str, how: str, value=None) -> DataFrame:
     """Missing values of a column: mean, median, mode, zero, constant, flag."""
-    every = Window.partitionBy()
     c = F.col(column)
     if how == "flag":
         return df.withColumn(f"{column}_missing", c.isNull())
-    by = {"mean": lambda: F.avg(c).over(every), "median": lambda: F.percentile(c, 0.5).over(every), "mode": lambda: F.mode(c, True).over(every), "zero": lambda: F.lit(0), "constant": lambda: F.lit(value)}
-    return df.withColumn(column, F.coalesce(c, by[how]()))
+    if how == "median":
+        return df.withColumn(column, F.coalesce(c, F.lit(exact_quantiles(df, column, [0.5])[0])))
+    if how in ("zero", "constant"):
+        return df.withColumn(column, F.coalesce(c, F.lit(0 if how == "zero" else value)))
+    if how == "mode":
+        counts = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count("*").alias("_n"))
+        total = counts.agg(F.min_by("_v", F.struct(-F.col("_n"), "_v")).alias("_fill"))
+    else:
+        total = df.agg(F.avg(c).alias("_fill"))
+    return df.crossJoin(F.broadcast(total)).withColumn(column, F.coalesce(c, "_fill")).drop("_fill")
 
 
 def sentinels(c: Column, words: tuple[str, ...] = ("", "n/a", "na", "null", "none", "unknown", "missing", "-")) -> Column:
@@ -66,16 +87,14 @@ def sentinels(c: Column, words: tuple[str, ...] = ("", "n/a", "na", "null", "non
 
 def quantile_bins(df: DataFrame, column: str, q: int, out: str) -> DataFrame:
     """Right-closed bins 1..q at interpolated quantiles; equal edges fall together."""
-    every = Window.partitionBy()
-    edges = F.percentile(F.col(column), F.array(*[F.lit(i / q) for i in range(1, q)])).over(every)
-    return df.withColumn("_edges", edges).withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(column))) + 1).drop("_edges")
+    edges = F.array(*[F.lit(e) for e in exact_quantiles(df, column, [i / q for i in range(1, q)])])
+    return df.withColumn(out, F.size(F.filter(edges, lambda e: e < F.col(column))) + 1)
 
 
 def rfm(orders: DataFrame, customer: str, when: str, amount: str) -> DataFrame:
     """(customer, recency, frequency, monetary); recency in days to the last order of all."""
-    last = Window.partitionBy()
     per = orders.groupBy(customer).agg(F.max(when).alias("_m"), F.count("*").alias("frequency"), F.round(F.sum(amount), 2).alias("monetary"))
-    return per.select(customer, F.datediff(F.max("_m").over(last), F.col("_m")).alias("recency"), "frequency", "monetary")
+    return with_totals(per, _last=F.max("_m")).select(customer, F.datediff("_last", "_m").alias("recency"), "frequency", "monetary")
 
 
 #: Customer labels by the sums of three scores from 1 to 5, tried in this order.

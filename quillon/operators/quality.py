@@ -37,9 +37,10 @@ def matches(c: str, pattern: str, nulls_fail: bool = True) -> Rule:
     return Rule(f"{c}_matches", F.col(c).rlike(f"^(?:{pattern})"), nulls_fail=nulls_fail)
 
 
-def within_std(c: str, k: float = 3) -> Rule:
-    w = Window.partitionBy()
-    return Rule(f"{c}_within_std", F.abs(F.col(c) - F.avg(c).over(w)) <= k * F.stddev_samp(c).over(w))
+def within_std(df: DataFrame, c: str, k: float = 3) -> Rule:
+    """Within k sample deviations of the mean of df, which is aggregated here."""
+    mean, std = df.agg(F.avg(c), F.stddev_samp(c)).first()
+    return Rule(f"{c}_within_std", F.abs(F.col(c) - F.lit(mean)) <= F.lit(std) * k)
 
 
 def is_in(c: str, values: list, nulls_fail: bool = True) -> Rule:

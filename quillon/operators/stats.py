@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import adjusted_kurtosis, adjusted_skew, safe_corr
+from .totals import exact_quantiles, running_sums, with_totals
 
 
 def rows_of(exprs: list[Column]) -> Column:
@@ -112,10 +113,8 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row: the greatest distance of two empirical distribution functions."""
     both = a.select(F.col(column).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(F.col(column).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     per = both.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(every)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(every)))
-    return per.select(gap.alias("d")).agg(F.max("d").alias("ks"))
+    both = with_totals(running_sums(per, "x", ["a", "b"]), _a=F.max("run_a"), _b=F.max("run_b"))
+    return both.agg(F.max(F.abs(F.try_divide("run_a", "_a") - F.try_divide("run_b", "_b"))).alias("ks"))
 
 
 def psi(a: DataFrame, b: DataFrame, column: str, edges: list[float], least: float = 1e-4) -> DataFrame:
@@ -126,22 +125,23 @@ def psi(a: DataFrame, b: DataFrame, column: str, edges: list[float], least: floa
     return both.agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
 
 
-def fences(df: DataFrame, column: str, method: str = "iqr", k: float | None = None, keys: list[str] | None = None) -> DataFrame:
+def fences(df: DataFrame, column: str, method: str = "iqr", k: float | None = None) -> DataFrame:
     """df with low and high, the bounds of ordinary values: iqr, z, mad or percentile."""
-    w = Window.partitionBy(*(keys or []))
     c = F.col(column)
-    if method == "iqr":
-        q1, q3 = (F.percentile(c, q).over(w) for q in (0.25, 0.75))
-        step = (1.5 if k is None else k) * (q3 - q1)
-        return df.withColumn("low", q1 - step).withColumn("high", q3 + step)
+    put = lambda low, high: df.withColumn("low", F.lit(low).cast("double")).withColumn("high", F.lit(high).cast("double"))
     if method == "z":
-        step = (3 if k is None else k) * F.stddev_samp(c).over(w)
-        return df.withColumn("low", F.avg(c).over(w) - step).withColumn("high", F.avg(c).over(w) + step)
+        step = (3 if k is None else k) * F.col("_s")
+        return with_totals(df, _m=F.avg(c), _s=F.stddev_samp(c)).withColumn("low", F.col("_m") - step).withColumn("high", F.col("_m") + step).drop("_m", "_s")
+    if method == "iqr":
+        q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
+        step = None if q1 is None else (1.5 if k is None else k) * (q3 - q1)
+        return put(None, None) if step is None else put(q1 - step, q3 + step)
     if method == "mad":
-        mid = df.withColumn("_m", F.percentile(c, 0.5).over(w)).withColumn("_mad", F.percentile(F.abs(c - F.col("_m")), 0.5).over(w))
-        step = (3.5 if k is None else k) * F.col("_mad") / 0.6745
-        return mid.withColumn("low", F.when(F.col("_mad") > 0, F.col("_m") - step)).withColumn("high", F.when(F.col("_mad") > 0, F.col("_m") + step)).drop("_m", "_mad")
+        mid = exact_quantiles(df, column, [0.5])[0]
+        mad = None if mid is None else exact_quantiles(df, F.abs(c - mid), [0.5])[0]
+        step = (3.5 if k is None else k) * (mad or 0) / 0.6745
+        return put(mid - step, mid + step) if mad else put(None, None)
     if method == "percentile":
-        p = 1 if k is None else k
-        return df.withColumn("low", F.percentile(c, p / 100).over(w)).withColumn("high", F.percentile(c, 1 - p / 100).over(w))
+        p = (1 if k is None else k) / 100
+        return put(*exact_quantiles(df, column, [p, 1 - p]))
     raise ValueError(f"no outlier method {method!r}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .totals import with_totals
+
 
 def spine(df: DataFrame, ts: str, unit: str) -> DataFrame:
     """Every bin between the first and last time: (bin)."""
@@ -84,14 +86,15 @@ def infer_frequency(df: DataFrame, ts: str) -> DataFrame:
 
 def anomalies(df: DataFrame, column: str, order: str, window: int = 24, k: float = 3.0, keys: list[str] | None = None) -> DataFrame:
     """Flags by z-score, IQR fences and rolling deviation, and whether any holds."""
-    w = Window.partitionBy(*(keys or []))
     c = F.col(column)
-    sd = F.stddev_samp(c).over(w)
-    q1, q3 = (F.percentile(c, q).over(w) for q in (0.25, 0.75))
+    stats = {"_m": F.avg(c), "_sd": F.stddev_samp(c), "_q": F.percentile(c, [0.25, 0.75])}
+    base = with_totals(df, keys, **stats)
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
     mean, dev = (rolling(column, window, order, f, keys, center=True) for f in (F.avg, F.stddev_samp))
     no = lambda x: F.coalesce(x, F.lit(False))
-    out = df.withColumn("z_flag", no((sd > 0) & (F.abs(c - F.avg(c).over(w)) > k * sd))).withColumn("iqr_flag", no((c < q1 - 1.5 * (q3 - q1)) | (c > q3 + 1.5 * (q3 - q1))))
-    return out.withColumn("rolling_flag", no((dev > 0) & (F.abs(c - mean) > k * dev))).withColumn("anomaly", F.expr("z_flag or iqr_flag or rolling_flag"))
+    out = base.withColumn("z_flag", no((F.col("_sd") > 0) & (F.abs(c - F.col("_m")) > k * F.col("_sd")))).withColumn("iqr_flag", no((c < q1 - 1.5 * (q3 - q1)) | (c > q3 + 1.5 * (q3 - q1))))
+    out = out.withColumn("rolling_flag", no((dev > 0) & (F.abs(c - mean) > k * dev))).withColumn("anomaly", F.expr("z_flag or iqr_flag or rolling_flag"))
+    return out.drop(*stats)
 
 
 def decompose(df: DataFrame, column: str, order: str, period: int) -> DataFrame:

@@ -73,7 +73,7 @@ add("dq_report", lambda t: dq.report(t.orders, RULES()), " UNION ALL ".join(f"SE
 add("dq_violations", lambda t: dq.violations(t.orders, RULES(), "o_orderkey"), " UNION ALL ".join(f"SELECT o_orderkey, '{k}' AS rule, 'high' AS severity FROM {NUMBERED} WHERE {f}" for k, f in FAIL.items()))
 add("dq_summary", lambda t: dq.summary(dq.violations(t.orders, RULES(), "o_orderkey"), "o_orderkey"), "SELECT rule, 'high' AS severity, count(*) AS violations, count(DISTINCT o_orderkey) AS rows FROM (" + " UNION ALL ".join(f"SELECT o_orderkey, '{k}' AS rule FROM {NUMBERED} WHERE {f}" for k, f in FAIL.items()) + ") GROUP BY 1")
 add("dq_split_valid", lambda t: dq.split_valid(t.orders, RULES()[:4]).select("o_orderkey", "valid", F.size("errors").alias("n")), "SELECT o_orderkey, k = 0 AS valid, k AS n FROM (SELECT o_orderkey, " + " + ".join(f"({f})::INT" for f in list(FAIL.values())[:4]) + " AS k FROM orders)")
-add("dq_within_std", lambda t: dq.report(t.orders, [dq.within_std("o_totalprice", 2)]).select("failed"), "SELECT count(*) FILTER (WHERE abs(o_totalprice - m) > 2 * s) AS failed FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)")
+add("dq_within_std", lambda t: dq.report(t.orders, [dq.within_std(t.orders, "o_totalprice", 2)]).select("failed"), "SELECT count(*) FILTER (WHERE abs(o_totalprice - m) > 2 * s) AS failed FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)")
 add("dq_temporal", lambda t: dq.violations(t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey")).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), [dq.ordered("o_orderdate", "l_shipdate")], "id").select("id"), "SELECT l_orderkey || '-' || l_linenumber AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > l_shipdate")
 add("dq_formula", lambda t: dq.report(t.lineitem, [dq.close_to("price", c("l_extendedprice") * (1 - c("l_discount")), c("l_extendedprice") - c("l_extendedprice") * c("l_discount")), dq.close_to("tax", c("l_tax") * 100, F.lit(4.0))]).select("rule", "failed"), "SELECT 'price' AS rule, 0::BIGINT AS failed UNION ALL SELECT 'tax', count(*) FILTER (WHERE abs(l_tax * 100 - 4) > 0.01) FROM lineitem")
 add("dq_conditional", lambda t: dq.report(t.orders, [dq.implies("big", c("o_totalprice") > 200000, c("o_orderpriority") != "5-LOW"), dq.exclusive("one", ["o_orderkey", "o_custkey"])]).select("rule", "failed"), "SELECT 'big' AS rule, count(*) FILTER (WHERE o_totalprice > 200000 AND o_orderpriority = '5-LOW') AS failed FROM orders UNION ALL SELECT 'one', count(*) FILTER (WHERE o_orderkey <> 0 AND o_custkey <> 0) FROM orders")
@@ -100,7 +100,7 @@ add("dq_missing_t", lambda t: miss(t).join(t.orders.select("o_orderkey", "o_cust
 add("dq_sentinels", lambda t: t.customer.select("c_custkey", ft.sentinels(F.when(c("c_custkey") % 3 == 0, "N/A").otherwise(c("c_mktsegment"))).alias("s")), "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS s FROM customer")
 
 # --- features
-add("ft_label_encode", lambda t: ft.label_encode(t.customer, "c_mktsegment", "code").select("c_custkey", "code"), "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS code FROM customer")
+add("ft_label_encode", lambda t: ft.label_encode(t.customer, "c_mktsegment", "code").select("c_custkey", c("code").cast("int").alias("code")), "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS code FROM customer")
 add("ft_one_hot", lambda t: ft.one_hot(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"]).drop("o_orderstatus"), "SELECT o_orderkey, (o_orderstatus = 'F')::INT AS o_orderstatus_F, (o_orderstatus = 'O')::INT AS o_orderstatus_O, (o_orderstatus = 'P')::INT AS o_orderstatus_P FROM orders")
 add("ft_target_encode", lambda t: ft.target_encode(t.customer, "c_mktsegment", "c_acctbal").select("c_mktsegment", r("encoded", 4).alias("encoded")), "SELECT c_mktsegment, round((sum(c_acctbal) + 10 * (SELECT avg(c_acctbal) FROM customer)) / (count(*) + 10), 4) AS encoded FROM customer GROUP BY 1")
 add("ft_frequency_encode", lambda t: ft.frequency_encode(t.part, "p_brand").select("p_brand", r("frequency", 6).alias("frequency")), "SELECT p_brand, round(count(*) / sum(count(*)) OVER (), 6) AS frequency FROM part GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import features, joins, stats
+from ..operators.totals import exact_quantiles, with_totals
 from ..plans import flow
 from . import Registry
 
@@ -56,8 +57,8 @@ add("prj_lookup_array", lambda t: t.orders.select("o_orderkey", F.element_at(F.a
 add("prj_case", lambda t: t.part.select("p_partkey", F.when(c("p_size") < 10, "small").when(c("p_size") < 30, "medium").otherwise("large").alias("class"), F.when(c("p_retailprice") > 1200, r2(c("p_retailprice") * 2)).otherwise(c("p_retailprice")).alias("price")), "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, CASE WHEN p_retailprice > 1200 THEN round(p_retailprice * 2, 2) ELSE p_retailprice END AS price FROM part")
 add("prj_map_lookup", lambda t: t.orders.select("o_orderkey", F.try_element_at(F.create_map(F.lit("O"), F.lit("open"), F.lit("F"), F.lit("filled")), "o_orderstatus").alias("status")), "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' END AS status FROM orders")
 add("prj_cut_labels", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", num.cut(c("l_quantity"), [0, 10, 25, 50], ["low", "mid", "high"]).alias("band")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN 'low' WHEN l_quantity > 10 AND l_quantity <= 25 THEN 'mid' WHEN l_quantity > 25 AND l_quantity <= 50 THEN 'high' END AS band FROM lineitem")
-add("prj_cut_equal_width", lambda t: t.part.withColumns({"lo": F.min("p_size").over(W.partitionBy()), "hi": F.max("p_size").over(W.partitionBy())}).select("p_partkey", F.greatest(F.ceil((c("p_size") - c("lo")) * 4 / (c("hi") - c("lo"))), F.lit(1)).cast("int").alias("bin")), "SELECT p_partkey, greatest(ceil((p_size - lo) * 4.0 / (hi - lo)), 1)::INT AS bin FROM part, (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part)")
-add("prj_digitize", lambda t: t.orders.select("o_orderkey", num.digitize(c("o_totalprice"), [F.percentile("o_totalprice", q).over(W.partitionBy()) for q in (0.25, 0.5, 0.75)]).alias("bin")), "SELECT o_orderkey, (o_totalprice >= a)::INT + (o_totalprice >= b)::INT + (o_totalprice >= d)::INT AS bin FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS d FROM orders)")
+add("prj_cut_equal_width", lambda t: with_totals(t.part, lo=F.min("p_size"), hi=F.max("p_size")).select("p_partkey", F.greatest(F.ceil((c("p_size") - c("lo")) * 4 / (c("hi") - c("lo"))), F.lit(1)).cast("int").alias("bin")), "SELECT p_partkey, greatest(ceil((p_size - lo) * 4.0 / (hi - lo)), 1)::INT AS bin FROM part, (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part)")
+add("prj_digitize", lambda t: t.orders.select("o_orderkey", num.digitize(c("o_totalprice"), [F.lit(e) for e in exact_quantiles(t.orders, "o_totalprice", [0.25, 0.5, 0.75])]).alias("bin")), "SELECT o_orderkey, (o_totalprice >= a)::INT + (o_totalprice >= b)::INT + (o_totalprice >= d)::INT AS bin FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS d FROM orders)")
 
 # --- joins
 add("join_inner", lambda t: t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -135,8 +136,8 @@ SW = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 add("win_cumulative", lambda t: t.orders.select("o_orderkey", *[F.round(f("o_totalprice").over(per_customer().rowsBetween(W.unboundedPreceding, 0)), 6).alias(n) for n, f in (("s", F.sum), ("m", F.max), ("a", F.avg))]), f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 6) AS s, round(max(o_totalprice) OVER w, 6) AS m, round(avg(o_totalprice) OVER w, 6) AS a FROM orders WINDOW w AS ({SW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 add("win_lags", lambda t: t.orders.select("o_orderkey", F.lag("o_totalprice", 1).over(per_customer()).alias("lag1"), F.lead("o_totalprice", 1).over(per_customer()).alias("lead1"), r2(c("o_totalprice") - F.lag("o_totalprice", 1).over(per_customer())).alias("diff"), F.round(F.try_divide(c("o_totalprice"), F.lag("o_totalprice", 1).over(per_customer())) - 1, 6).alias("pct")), f"SELECT o_orderkey, lag(o_totalprice) OVER w AS lag1, lead(o_totalprice) OVER w AS lead1, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS diff, round(o_totalprice / lag(o_totalprice) OVER w - 1, 6) AS pct FROM orders WINDOW w AS ({SW})")
 add("win_cumprod", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.abs(F.round(F.exp(F.sum(F.ln(1 + c("l_tax"))).over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_tax").rowsBetween(W.unboundedPreceding, 0))) - 1, 6)).alias("growth")), "SELECT l_orderkey, l_linenumber, abs(round(exp(sum(ln(1 + l_tax)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax ROWS UNBOUNDED PRECEDING)) - 1, 6)) AS growth FROM lineitem")
-add("win_group_percentile", lambda t: t.lineitem.withColumn("p", F.percentile("l_extendedprice", 0.95).over(W.partitionBy("l_returnflag"))).where("l_extendedprice > p").select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT l_returnflag AS f, quantile_cont(l_extendedprice, 0.95) AS p FROM lineitem GROUP BY 1) ON l_returnflag = f WHERE l_extendedprice > p")
-add("win_within_std", lambda t: t.orders.withColumn("z", num.z_score(c("o_totalprice"), population=False)).where("abs(z) <= 2").select("o_orderkey"), "SELECT o_orderkey FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) WHERE abs(o_totalprice - m) <= 2 * s")
+add("win_group_percentile", lambda t: with_totals(t.lineitem, ["l_returnflag"], p=F.percentile("l_extendedprice", 0.95)).where("l_extendedprice > p").select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT l_returnflag AS f, quantile_cont(l_extendedprice, 0.95) AS p FROM lineitem GROUP BY 1) ON l_returnflag = f WHERE l_extendedprice > p")
+add("win_within_std", lambda t: features.scale(t.orders, "o_totalprice", "z_sample", "z").where("abs(z) <= 2").select("o_orderkey"), "SELECT o_orderkey FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) WHERE abs(o_totalprice - m) <= 2 * s")
 add("win_group_total", lambda t: t.orders.select("o_orderkey", r2(F.sum("o_totalprice").over(W.partitionBy("o_custkey"))).alias("ltv")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS ltv FROM orders")
 add("win_peaks", lambda t: t.orders.select("o_orderkey", ((c("o_totalprice") > F.lag("o_totalprice").over(per_customer())) & (c("o_totalprice") > F.lead("o_totalprice").over(per_customer()))).alias("peak")).where("peak").select("o_orderkey"), f"SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice > lag(o_totalprice) OVER w AND o_totalprice > lead(o_totalprice) OVER w AS peak FROM orders WINDOW w AS ({SW})) WHERE peak")
 add("win_last_vs_previous", lambda t: t.orders.withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy(c("o_orderdate").desc(), c("o_orderkey").desc()))).where("n <= 2").groupBy("o_custkey").agg(F.max(F.when(c("n") == 1, c("o_totalprice"))).alias("now"), F.max(F.when(c("n") == 2, c("o_totalprice"))).alias("before")).select("o_custkey", r2(num.change(c("now"), c("before"))).alias("change")), "SELECT o_custkey, round(CASE WHEN before = 0 THEN 0 ELSE (now - before) / before * 100 END, 2) AS change FROM (SELECT o_custkey, max(CASE WHEN n = 1 THEN o_totalprice END) AS now, max(CASE WHEN n = 2 THEN o_totalprice END) AS before FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 2 GROUP BY 1)")

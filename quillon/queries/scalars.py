@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions import numeric as num
+from ..operators.features import scale
+from ..operators.stats import fences
 from . import Registry
 
 R = Registry()
@@ -93,9 +94,9 @@ add("dt_window_literal", lambda t: t.orders.where(c(D).between("1995-03-01", "19
 P = "p_retailprice"
 add("math_scalars", lambda t: t.part.select("p_partkey", *[F.round(x, 6).alias(n) for n, x in (("sq", F.sqrt(P)), ("cb", F.cbrt(P)), ("ln", F.ln(P)), ("pw", F.pow("p_size", F.lit(2))), ("ab", F.abs(c(P) - 1200)))]), "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS sq, round(cbrt(p_retailprice), 6) AS cb, round(ln(p_retailprice), 6) AS ln, round(power(p_size, 2), 6) AS pw, round(abs(p_retailprice - 1200), 6) AS ab FROM part")
 add("math_clip", lambda t: t.part.select("p_partkey", num.clip(c("p_size"), F.lit(10), F.lit(40)).alias("v")), "SELECT p_partkey, greatest(least(p_size, 40), 10) AS v FROM part")
-add("math_winsorise", lambda t: t.orders.withColumns({"lo": F.percentile("o_totalprice", 0.05).over(W.partitionBy()), "hi": F.percentile("o_totalprice", 0.95).over(W.partitionBy())}).select("o_orderkey", F.round(num.clip(c("o_totalprice"), c("lo"), c("hi")), 4).alias("v")), "SELECT o_orderkey, round(greatest(least(o_totalprice, hi), lo), 4) AS v FROM orders, (SELECT quantile_cont(o_totalprice, .05) AS lo, quantile_cont(o_totalprice, .95) AS hi FROM orders)")
+add("math_winsorise", lambda t: fences(t.orders, "o_totalprice", "percentile", 5).withColumnsRenamed({"low": "lo", "high": "hi"}).select("o_orderkey", F.round(num.clip(c("o_totalprice"), c("lo"), c("hi")), 4).alias("v")), "SELECT o_orderkey, round(greatest(least(o_totalprice, hi), lo), 4) AS v FROM orders, (SELECT quantile_cont(o_totalprice, .05) AS lo, quantile_cont(o_totalprice, .95) AS hi FROM orders)")
 add("math_overtime", lambda t: t.part.select("p_partkey", F.least("p_size", F.lit(40)).alias("base"), F.greatest(c("p_size") - 40, F.lit(0)).alias("over")), "SELECT p_partkey, least(p_size, 40) AS base, greatest(p_size - 40, 0) AS over FROM part")
-add("math_scaling", lambda t: t.part.select("p_partkey", F.round(num.min_max(c(P)), 6).alias("mm"), F.round(num.z_score(c(P)), 6).alias("z"), F.round(num.robust(c(P)), 6).alias("rb")), "SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 6) AS mm, round((p_retailprice - m) / s, 6) AS z, round((p_retailprice - md) / iqr, 6) AS rb FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s, median(p_retailprice) AS md, quantile_cont(p_retailprice, .75) - quantile_cont(p_retailprice, .25) AS iqr FROM part)")
+add("math_scaling", lambda t: scale(scale(scale(t.part, P, "min_max", "mm"), P, "z", "z"), P, "robust", "rb").select("p_partkey", *[F.round(k, 6).alias(k) for k in ("mm", "z", "rb")]), "SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 6) AS mm, round((p_retailprice - m) / s, 6) AS z, round((p_retailprice - md) / iqr, 6) AS rb FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s, median(p_retailprice) AS md, quantile_cont(p_retailprice, .75) - quantile_cont(p_retailprice, .25) AS iqr FROM part)")
 add("math_scaler_choice", lambda t: t.lineitem.agg(F.abs(F.skewness("l_extendedprice")).alias("s")).select(F.when(c("s") > 1, "robust").when(c("s") < 0.5, "standard").otherwise("robust").alias("scaler")), "SELECT CASE WHEN abs(s) > 1 THEN 'robust' WHEN abs(s) < 0.5 THEN 'standard' ELSE 'robust' END AS scaler FROM (SELECT avg(power((l_extendedprice - m) / d, 3)) AS s FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS d FROM lineitem))")
 VEC = "(SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 pair = lambda t: t.embeddings.select("vec_id", c("embedding").cast("array<double>").alias("x")).join(t.embeddings.select((c("vec_id") - 1).alias("vec_id"), c("embedding").cast("array<double>").alias("y")), "vec_id")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The pattern that cuts text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1024
@@ -54,6 +56,7 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     share_up_to: the share of documents with at most n_tokens, the inverse of the quantile.
     """
     counted = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count("*").alias("docs"))
+    counted = cut(counted)  # used twice; encoding again would double the work
     counted = counted.withColumn("_tokens", F.col("n_tokens") * F.col("docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = counted.groupBy("_block").agg(F.sum("docs").alias("_d"), F.sum("_tokens").alias("_t"))
     above = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)

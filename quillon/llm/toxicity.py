@@ -277,7 +277,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for start, texts in slices(batch.column(0)):
+            for start, texts in slices(batch.column(0), 1_000_000):  # prefix sums take some 60 bytes a byte of text
                 score = model.scores(texts, cut)
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(

@@ -26,7 +26,8 @@ Copies of a whole text are marked by the exact dedup operator.
 Results in special cases: a null text is empty; texts shorter than ``length`` hold no string of
 that length and lose nothing.  A null identifier comes after all
 others.  Rows that repeat identifier and text are one document, each gets its result; of
-different texts with one identifier the one with the smaller SHA-256 counts as earlier.  An
+different texts with one identifier the one with the smaller SHA-256 (its first 28 bits, which
+are also what tells the two apart) counts as earlier.  An
 empty table gives an empty result.  Only named columns are read.
 """
 
@@ -49,7 +50,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
 _LAST = 2**63 - 1
-ANCHOR = np.dtype([("kmer", "<u8"), ("full", "<u8"), ("did", "<i8"), ("tie", "<i8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2")])
+ANCHOR = np.dtype([("kmer", "<u8"), ("full", "<u8"), ("did", "<i8"), ("tie", "<i4"), ("pos", "<u4"), ("left", "u1"), ("right", "u1")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ NAMES = ["pid", "did", "tie", "start", "size", "blob"]
 
 def mark_batch(did: np.ndarray, tie: np.ndarray, start: np.ndarray, size: np.ndarray, pid: np.ndarray | None = None) -> pa.RecordBatch:
     n = len(did)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32) if pid is None else pid), pa.array(did), pa.array(tie), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), pa.nulls(n, pa.binary())], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32) if pid is None else pid), pa.array(did), pa.array(tie.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), pa.nulls(n, pa.binary())], names=NAMES)
 
 
 def blob_batch(pids: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -249,7 +250,7 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
         for a in range(0, len(rows), 20_000):
             r = rows[a : a + 20_000]
             n = len(r)
-            yield pa.RecordBatch.from_arrays([pa.array((many[a : a + n] > hot).astype(np.int32)), pa.array(r["did"]), pa.array(r["tie"]), pa.array(r["pos"].astype(np.int64)), pa.nulls(n, pa.int64()), pa.array([x.tobytes() for x in r], pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array((many[a : a + n] > hot).astype(np.int32)), pa.array(r["did"]), pa.array(r["tie"].astype(np.int64)), pa.array(r["pos"].astype(np.int64)), pa.nulls(n, pa.int64()), pa.array([x.tobytes() for x in r], pa.binary())], names=NAMES)
 
     settled = cut(dealt(texts.mapInArrow(sample, SCHEMA), parts).mapInArrow(settle, SCHEMA))
     open_ = settled.where("pid >= 0").groupBy("did").agg(F.collect_list(F.struct("pid", "blob")).alias("open"))
@@ -307,11 +308,16 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, length: int = 100, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_text (binary)."""
+    """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_text (binary).
+
+    length: from 48 to 279 bytes, so that offsets to anchors fit a byte.
+    """
+    if not 2 * K <= length < 256 + K:
+        raise ValueError(f"length {length} is not within {2 * K} and {255 + K}")
     text = whole(F.col(text_col).cast("string"))
-    tie = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    tie = F.conv(F.substring(F.sha2(text, 256), 1, 7), 16, 10).cast("long")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), tie.alias("tie"), text.alias("text"))
-    copies = exact_dedup(texts, "did", "text", "min").where("keep_id <> did").select("did", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long").alias("tie"), F.lit(0).cast("long").alias("start"), F.lit(_LAST).alias("size")).distinct()
+    copies = exact_dedup(texts, "did", "text", "min").where("keep_id <> did").select("did", F.conv(F.substring("text_sha256", 1, 7), 16, 10).cast("long").alias("tie"), F.lit(0).cast("long").alias("start"), F.lit(_LAST).alias("size")).distinct()
     marks = repeated(texts, length, hot).unionByName(copies)
     lists = marks.groupBy("did").agg(F.collect_list(F.struct("tie", "start", "size")).alias("marks"))
     parts = width(docs.sparkSession)

@@ -45,7 +45,9 @@ from .common import cut, whole, width
 from .exact_dedup import exact_dedup
 
 K = 24
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: Anchors that a task compares among themselves before it deals them out.
+HELD = 60_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
@@ -219,17 +221,25 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
         for i in range(batch.num_rows):
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode()
 
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows, lead = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        order, first = earliest(rows)
+        yield marks_of(rows[order[~first]], length, parts)
+        rows, pid = rows[order[first]], pid_of(lead[order[first]])
+        by = np.argsort(pid, kind="stable")
+        rows, pid = rows[by], pid[by]
+        edge = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
+        yield blob_batch(pid[edge].tolist(), [rows[a:b].tobytes() for a, b in zip(edge, np.r_[edge[1:], len(rows)], strict=True)])
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(rows_of(batch), length):
-                rows, lead = anchors(part, length)
-                order, first = earliest(rows)
-                yield marks_of(rows[order[~first]], length, parts)
-                rows, pid = rows[order[first]], pid_of(lead[order[first]])
-                by = np.argsort(pid, kind="stable")
-                rows, pid = rows[by], pid[by]
-                edge = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
-                yield blob_batch(pid[edge].tolist(), [rows[a:b].tobytes() for a, b in zip(edge, np.r_[edge[1:], len(rows)], strict=True)])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in chunks((row for batch in batches for row in rows_of(batch)), length):
+            held.append(anchors(part, length))
+            if sum(len(h[0]) for h in held) >= HELD:
+                yield from deal(held)
+                held = []
+        if held:
+            yield from deal(held)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []

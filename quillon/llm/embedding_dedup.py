@@ -162,7 +162,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     members = cut(packed.groupBy("_label", "_dim", "_vec").agg(F.min("_id").alias("_id"), F.count("*").alias("_weight")))
     books: dict[int, tuple[MultiIndex, float]] = {}
     words = words or int(np.clip(round((members.count() / 200) ** 0.5), 4, 2048))
-    picked = members.select("_dim", "_vec", "_id").orderBy(F.xxhash64("_id")).limit(sample).toArrow().sort_by("_id")
+    chosen = members.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    picked = members.select("_dim", "_vec", "_id").join(F.broadcast(chosen), "_id").toArrow().sort_by("_id")
     dims = [r[0] for r in members.select("_dim").distinct().limit(10_000).collect()]
     for dim in dims:
         own = [x for x, d in zip(picked["_vec"].to_pylist(), picked["_dim"].to_pylist(), strict=True) if d == dim]

@@ -200,9 +200,10 @@ def dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("pid")) if hasattr(df, "repartitionById") else df.repartition(parts, "pid")
 
 
-def splitters(docs: DataFrame, parts: int, length: int, sample: int = 400) -> np.ndarray:
+def splitters(docs: DataFrame, parts: int, length: int, sample: int = 300) -> np.ndarray:
     """Leading bytes that cut the anchors of a sample of documents into equal parts."""
-    rows = docs.orderBy(F.xxhash64("did", "tie")).limit(sample).select("text").toArrow()["text"].to_pylist()
+    picked = docs.select("did").orderBy(F.xxhash64("did"), "did").limit(sample).distinct()
+    rows = docs.join(F.broadcast(picked), "did").select("text").limit(2 * sample).toArrow()["text"].to_pylist()
     leads = [anchors(part, length)[1] for part in chunks(((0, 0, t.encode()) for t in rows), length)]
     lead = np.sort(np.concatenate(leads)) if leads else np.zeros(1, np.uint64)
     return lead[(np.arange(1, parts) * len(lead) // parts)]

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
-from ..operators import graph, joins, stats
+from ..operators import graph, joins, models, stats
 from ..operators import quality as dq
 from ..operators import timeseries as ts
 from ..plans import flow
@@ -176,3 +176,16 @@ def stream_windows(t):
 
 
 add("dup_fuzzy_groups", lambda t: joins.fuzzy_groups(t.customer.where("c_custkey <= 300").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", c("c_nationkey"), lambda a, b: -F.abs(c(f"{a}c_acctbal") - c(f"{b}c_acctbal")), -200), "SELECT b.c_custkey, coalesce(min(a.c_custkey), b.c_custkey) AS leader FROM customer b LEFT JOIN customer a ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.c_custkey <= 300 AND abs(a.c_acctbal - b.c_acctbal) <= 200 WHERE b.c_custkey <= 300 GROUP BY b.c_custkey")
+
+# --- models and transforms
+add("ft_vif", lambda t: models.vif(t.part, ["p_size", "p_retailprice"]).select("column", r("vif", 6).alias("vif"), "level"), " UNION ALL ".join(f"SELECT '{k}' AS \"column\", round(1 / (1 - power(corr(p_size, p_retailprice), 2)), 6) AS vif, 'low' AS level FROM part" for k in ("p_size", "p_retailprice")))
+add("ft_pca_variance", lambda t: models.pca_variance(t.part, ["p_size", "p_retailprice"]).select("component", r("share", 6).alias("share")), "SELECT 1 AS component, round((1 + abs(corr(p_size, p_retailprice))) / 2, 6) AS share FROM part UNION ALL SELECT 2, round((1 - abs(corr(p_size, p_retailprice))) / 2, 6) FROM part")
+add("ft_linear_fit", lambda t: models.linear_fit(t.part, ["p_size"], "p_retailprice").select("term", r("weight", 4).alias("weight")), "SELECT 'intercept' AS term, round(regr_intercept(p_retailprice, p_size), 4) AS weight FROM part UNION ALL SELECT 'p_size', round(regr_slope(p_retailprice, p_size), 4) FROM part")
+add("ft_mutual_information", lambda t: models.mutual_information(t.orders, "o_orderstatus", "o_orderpriority").select(r("mi", 8).alias("mi")), "WITH g AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY a) / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS pb FROM g) SELECT round(sum(p * ln(p / (pa * pb))), 8) AS mi FROM e")
+add("ft_benjamini_hochberg", lambda t: models.benjamini_hochberg(t.nation.select("n_nationkey", (c("n_nationkey") * c("n_nationkey") / 2000.0).alias("p")), "p").select("n_nationkey", "selected"), "WITH t AS (SELECT n_nationkey, n_nationkey * n_nationkey / 2000.0 AS p, rank() OVER (ORDER BY n_nationkey) AS k, count(*) OVER () AS n FROM nation) SELECT n_nationkey, p <= (SELECT max(p) FROM t WHERE p <= 0.05 * k / n) AS selected FROM t")
+add("ft_box_cox", lambda t: models.box_cox(t.orders, "o_totalprice", "y").select("o_orderkey", r("y", 3).alias("y")))
+add("ts_detrend", lambda t: models.detrend(daily(t).withColumn("day", F.unix_date(F.to_date("d"))), "v", "day", "x").select("day", r("x", 2).alias("x")), f"SELECT day::INT AS day, round(v - a - b * day, 2) AS x FROM (SELECT date_diff('day', DATE '1970-01-01', d::DATE) AS day, v FROM {DAILY}), (SELECT regr_intercept(v, day) AS a, regr_slope(v, day) AS b FROM (SELECT date_diff('day', DATE '1970-01-01', d::DATE) AS day, v FROM {DAILY}))")
+add("ts_savitzky_golay", lambda t: daily(t).select(F.to_date("d").alias("day"), r(models.savitzky_golay("v", "d"), 4).alias("s")), f"SELECT d::DATE AS day, round((-3 * lag(v, 2) OVER w + 12 * lag(v, 1) OVER w + 17 * v + 12 * lead(v, 1) OVER w - 3 * lead(v, 2) OVER w) / 35, 4) AS s FROM {DAILY} WINDOW w AS (ORDER BY d)")
+add("ft_time_split", lambda t: models.time_split(t.orders, "o_orderdate", 4).groupBy("fold").agg(F.count("*").alias("n")), "SELECT least(floor((epoch(o_orderdate) - a) * 4 / (b - a)) + 1, 4)::BIGINT AS fold, count(*) AS n FROM orders, (SELECT epoch(min(o_orderdate)) AS a, epoch(max(o_orderdate)) AS b FROM orders) GROUP BY 1")
+add("nest_schema_evolution", lambda t: t.events.select("event_id", F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n")), "SELECT unnest(json_keys(props)) AS key, count(*) AS n FROM events GROUP BY 1")
+add("prj_seeded_sample", lambda t: t.orders.orderBy(F.xxhash64("o_orderkey", F.lit(7)), "o_orderkey").limit(100).agg(F.count("*").alias("n")), "SELECT 100::BIGINT AS n")

@@ -29,24 +29,46 @@ def values() -> str:
     return "(VALUES " + ", ".join(f"({i}, {q(s)})" for i, s in enumerate(SAMPLES)) + ") v(i, s)"
 
 
-def on_samples(name: str, make, sql: str | None) -> None:
-    add(name, lambda t: samples(t).select("i", make(c("s")).alias("r")), sql and f"SELECT i, {sql} AS r FROM {values()}")
+SPACES = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+def sql_title(x: str) -> str:
+    return f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(lower({x}), i - 1, 1), '\\p{{L}}') THEN upper(substr(lower({x}), i, 1)) ELSE substr(lower({x}), i, 1) END), '')"
+
+
+def sql_expand(x: str) -> str:
+    x = f"lower({x})"
+    for short, full in text.ABBREVIATIONS.items():
+        x = rf"regexp_replace({x}, '\b{short}\b\.?', '{full}', 'g')"
+    return x
+
+
+def sql_encoding(x: str) -> str:
+    quote = lambda v: "chr(0)" if v == "\0" else "'" + v.replace("'", "''") + "'"
+    for wrong, right in text.MOJIBAKE.items():
+        x = f"replace({x}, {quote(wrong)}, {quote(right)})"
+    return x
+
+
+def on_samples(name: str, make, sql: str | None, without: int = -1) -> None:
+    """without: a sample on which the SQL engine's word boundaries, being ASCII's, differ."""
+    add(name, lambda t: samples(t).where(c("i") != without).select("i", make(c("s")).alias("r")), sql and f"SELECT i, {sql} AS r FROM {values()} WHERE i <> {without}")
 
 
 on_samples("str_lower_strip", lambda s: F.lower(F.trim(s)), "lower(trim(s))")
 on_samples("str_upper", F.upper, "upper(s)")
 on_samples("str_squeeze", text.squeeze, r"trim(regexp_replace(s, '\s+', ' ', 'g'))")
-on_samples("str_title", text.title, None)
+on_samples("str_title", text.title, sql_title("s"))
 on_samples("str_literal_replace", lambda s: F.replace(s, F.lit("$"), F.lit("")), "replace(s, '$', '')")
 on_samples("str_dict_replace", lambda s: F.when(s == "Yes", "yes").when(s == "off", "no").otherwise(s), "CASE s WHEN 'Yes' THEN 'yes' WHEN 'off' THEN 'no' ELSE s END")
 on_samples("str_regex_replace", text.strip_special, r"regexp_replace(s, '[^a-zA-Z0-9\s]', '', 'g')")
 on_samples("str_strip_html", text.strip_html, "regexp_replace(replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', '', 'g')")
 on_samples("str_strip_urls", text.strip_urls, r"regexp_replace(s, 'https?://\S+|www\.\S+', '', 'g')")
 on_samples("str_accents", text.strip_accents, f"translate(s, '{text.ACCENTED}', '{text.PLAIN}')")
-on_samples("str_fix_encoding", text.fix_encoding, None)
-on_samples("str_expand_abbreviations", text.expand_abbreviations, None)
-on_samples("str_clean_name", lambda s: text.clean(s, "name"), None)
-on_samples("str_clean_address", lambda s: text.clean(s, "address"), None)
+on_samples("str_fix_encoding", text.fix_encoding, sql_encoding("s"))
+on_samples("str_expand_abbreviations", text.expand_abbreviations, sql_expand("s"), 9)
+on_samples("str_clean_name", lambda s: text.clean(s, "name"), "translate(" + sql_title("regexp_replace(" + SPACES.format("s") + r", '[^a-zA-Z0-9\s\-'']', '', 'g')") + f", '{text.ACCENTED}', '{text.PLAIN}')")
+on_samples("str_clean_address", lambda s: text.clean(s, "address"), sql_title(sql_expand(SPACES.format("s"))), 9)
 on_samples("str_clean_description", lambda s: text.clean(s, "description"), None)
 on_samples("str_clean_code", lambda s: text.clean(s, "code"), r"regexp_replace(upper(trim(s)), '\s+', '', 'g')")
 on_samples("str_phone", text.phone, r"CASE WHEN length(regexp_replace(s, '\D', '', 'g')) = 10 THEN regexp_replace(regexp_replace(s, '\D', '', 'g'), '^(...)(...)(....)$', '(\1) \2-\3') WHEN length(regexp_replace(s, '\D', '', 'g')) = 11 AND regexp_replace(s, '\D', '', 'g') LIKE '1%' THEN regexp_replace(regexp_replace(s, '\D', '', 'g'), '^1(...)(...)(....)$', '+1 (\1) \2-\3') ELSE s END")
@@ -60,11 +82,11 @@ on_samples("str_split_first", lambda s: F.lower(F.get(F.split(F.trim(s), r"\s+")
 on_samples("str_contains", lambda s: s.rlike("[A-Z]{2,}"), "regexp_matches(s, '[A-Z]{2,}')")
 on_samples("str_match_start", lambda s: s.rlike("^(?:[0-9]+)"), "regexp_matches(s, '^(?:[0-9]+)')")
 on_samples("str_hash", lambda s: F.md5(s), "md5(s)")
-on_samples("str_match_key", text.match_key, None)
+on_samples("str_match_key", text.match_key, SPACES.format(r"regexp_replace(lower(s), '[^\w\s]', '', 'g')"))
 on_samples("str_boolean", text.as_boolean, "CASE WHEN lower(trim(s)) IN ('true','t','yes','y','1','on') THEN true WHEN lower(trim(s)) IN ('false','f','no','n','0','off') THEN false END")
 on_samples("str_number", text.as_number, r"try_cast(regexp_replace(s, '[$€£¥,%\s]', '', 'g') AS DOUBLE) / CASE WHEN trim(s) LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END")
-on_samples("str_tokens", lambda s: F.size(text.tokens(s)), None)
-on_samples("str_sentences", lambda s: F.size(text.sentences(s)), None)
+on_samples("str_tokens", lambda s: F.size(text.tokens(s)), r"len(list_filter(regexp_split_to_array(lower(regexp_replace(s, '[^\w\s]', ' ', 'g')), '\s+'), lambda x: x <> ''))::INT")
+on_samples("str_sentences", lambda s: F.size(text.sentences(s)), "len(list_filter(regexp_split_to_array(s, '[.!?]'), lambda x: trim(x) <> ''))::INT")
 on_samples("str_sanitise", lambda s: F.regexp_replace(s, "[^a-zA-Z0-9 _-]", ""), "regexp_replace(s, '[^a-zA-Z0-9 _-]', '', 'g')")
 add("str_concat", lambda t: t.supplier.select("s_suppkey", F.concat_ws("_", c("s_suppkey").cast("string"), "s_name").alias("key")), "SELECT s_suppkey, s_suppkey || '_' || s_name AS key FROM supplier")
 add("str_format", lambda t: t.supplier.select("s_suppkey", F.format_number("s_acctbal", 2).alias("money"), F.format_string("%05d", c("s_suppkey")).alias("code")), "SELECT s_suppkey, format('{:,.2f}', s_acctbal) AS money, printf('%05d', s_suppkey) AS code FROM supplier")

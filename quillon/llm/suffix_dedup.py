@@ -16,10 +16,12 @@ strings whose anchor it is.
 3. Open anchors fetch their reach's bytes and are range-partitioned again.  Buckets sort the
    owned strings by multikey quicksort: groups are split by one token after the other (20 bytes,
    as 64-bit fingerprints) and drop out as soon as they hold one string.  All but the earliest
-   of a group repeat.  Splitters never part equal leading bytes; an anchor with more than
-   ``hot`` reaches is compared across all buckets instead, each of its strings in the bucket of
-   its own hash.
-4. Marked intervals meet their documents, which are cut.
+   of a group repeat.
+4. Anchors with more than ``hot`` reaches are compared across all buckets instead, each of
+   their strings in the bucket of its own hash, after every task has kept only its earliest
+   of equal strings.  Anchors that a sample of documents expects to be hot never meet in one
+   bucket at all: already in step 1 their reaches are dealt by their own hashes.
+5. Marked intervals meet their documents, which are cut.
 
 Copies of a whole text are marked by the exact dedup operator.
 
@@ -48,6 +50,8 @@ K = 24
 CHUNK = 500_000
 #: Anchors that a task compares among themselves before it deals them out.
 HELD = 60_000
+#: Bytes of hot anchors' reaches that a task compares among themselves before it deals them out.
+REACHES = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
@@ -136,11 +140,18 @@ def anchors(parts: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.n
     return out, lead
 
 
-def earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by anchor, reach and place; whether each is the first of its anchor and reach)."""
+def repeats(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether rows in groups, each in order of place, lie elsewhere than the group's first (repeated rows don't)."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return np.any([p != p[head] for p in place], axis=0) if len(first) else first
+
+
+def earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by anchor, reach and place; whether each is the first of its anchor and reach; whether it repeats that)."""
     order = np.lexsort((rows["pos"], rows["tie"], rows["did"], rows["full"], rows["kmer"]))
     r = rows[order]
-    return order, np.r_[True, (r["kmer"][1:] != r["kmer"][:-1]) | (r["full"][1:] != r["full"][:-1])][: len(r)]
+    first = np.r_[True, (r["kmer"][1:] != r["kmer"][:-1]) | (r["full"][1:] != r["full"][:-1])][: len(r)]
+    return order, first, repeats(first, r["did"], r["tie"], r["pos"])
 
 
 def marks_of(rows: np.ndarray, length: int, parts: int = 0) -> pa.RecordBatch:
@@ -151,6 +162,8 @@ def marks_of(rows: np.ndarray, length: int, parts: int = 0) -> pa.RecordBatch:
 
 
 SCHEMA = "pid int, did long, tie long, start long, size long, blob binary"
+#: What a blob holds: one anchor with the bytes of its reach, or rows of single strings.
+REACH, STRINGS = b"r", b"s"
 NAMES = ["pid", "did", "tie", "start", "size", "blob"]
 
 
@@ -192,41 +205,89 @@ def same_strings(rows: np.ndarray, key: np.ndarray, text: list[bytes], length: i
     place = rows["pos"][row].astype(np.int64) - rows["left"][row] + off
     order = np.lexsort((place, rows["tie"][row], rows["did"][row], group))
     group, row, off = group[order], row[order], off[order]
-    later = np.r_[False, group[1:] == group[:-1]][: len(group)]
+    first = np.r_[True, group[1:] != group[:-1]][: len(group)]
+    later = repeats(first, rows["did"][row], rows["tie"][row], place[order])
     return row[later], off[later]
 
 
+def own_strings(rows: np.ndarray, text: list[bytes], length: int) -> np.ndarray:
+    """ANCHOR rows of all strings that the rows own: kmer and full together are 128 bits of the string, pos its start."""
+    hashes = Hashes(np.frombuffer(b"".join(text), np.uint8))
+    sizes = np.array([len(t) for t in text])
+    count = rows["right"].astype(np.int64) + 1
+    row = np.repeat(np.arange(len(rows)), count)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = (np.cumsum(sizes) - sizes)[row] + off
+    out = np.zeros(len(row), ANCHOR)
+    out["kmer"] = hashes.pieces(start, start + length)
+    with np.errstate(over="ignore"):
+        out["full"] = mixed(hashes.pieces(start, start + length // 2) * _P + hashes.pieces(start + length // 2, start + length))
+    out["did"], out["tie"] = rows["did"][row], rows["tie"][row]
+    out["pos"] = rows["pos"][row] - rows["left"][row] + off
+    return out
+
+
+def merged(rows: np.ndarray, length: int, parts: int = 0) -> pa.RecordBatch:
+    """Marks over the strings at the rows' places, strings that follow each other in one mark."""
+    rows = rows[np.lexsort((rows["pos"], rows["tie"], rows["did"]))]
+    did, tie, pos = rows["did"], rows["tie"], rows["pos"].astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (tie[1:] != tie[:-1]) | (pos[1:] > pos[:-1] + 1)])[: len(rows)]
+    last = np.r_[edge[1:], len(rows)][: len(edge)] - 1
+    pid = (rows["full"][edge] % np.uint64(parts)).astype(np.int32) if parts else None
+    return mark_batch(did[edge], tie[edge], pos[edge], pos[last] - pos[edge] + length, pid)
+
+
 def dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("pid")) if hasattr(df, "repartitionById") else df.repartition(parts, "pid")
 
 
-def splitters(docs: DataFrame, parts: int, length: int, sample: int = 300) -> np.ndarray:
-    """Leading bytes that cut the anchors of a sample of documents into equal parts."""
+def survey(docs: DataFrame, parts: int, length: int, hot: int, sample: int = 20_000, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(leading bytes that cut the anchors into equal parts, anchors expected in more than ``hot`` documents).
+
+    Both from a sample of documents; no anchor counts as hot that fewer than ``least`` of them hold.
+    """
     picked = docs.select("did").orderBy(F.xxhash64("did"), "did").limit(sample).distinct()
-    rows = docs.join(F.broadcast(picked), "did").select("text").limit(2 * sample).toArrow()["text"].to_pylist()
-    leads = [anchors(part, length)[1] for part in chunks(((0, 0, t.encode()) for t in rows), length)]
-    lead = np.sort(np.concatenate(leads)) if leads else np.zeros(1, np.uint64)
-    return lead[(np.arange(1, parts) * len(lead) // parts)]
+    texts = docs.join(F.broadcast(picked), "did").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (t.encode() for batch in batches for t in batch.column(0).to_pylist())
+        for part in chunks(((k, 0, t) for k, t in enumerate(texts)), length):
+            rows, lead = anchors(part, length)
+            at = np.lexsort((rows["kmer"], rows["did"]))
+            at = at[np.r_[True, (np.diff(rows["did"][at]) != 0) | (np.diff(rows["kmer"][at]) != 0)][: len(at)]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["kmer"][at].view(np.int64)), pa.array(lead[at].view(np.int64))], names=["kmer", "lead"])
+
+    found = cut(texts.mapInArrow(run, "kmer long, lead long"))
+    rows = docs.count()
+    need = max(least, int(hot * min(1.0, sample / max(rows, 1))))
+    often = found.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > need).select("kmer").toArrow()["kmer"].to_numpy()
+    few = found.orderBy(F.rand(5)).select("lead").limit(50_000).toArrow()["lead"].to_numpy()
+    lead = np.sort(few.astype(np.int64).view(np.uint64)) if len(few) else np.zeros(1, np.uint64)
+    return lead[(np.arange(1, parts) * len(lead) // parts)], np.sort(often.astype(np.int64).view(np.uint64))
 
 
 def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
     """Marks (did, tie, start, size) of strings that start earlier, for texts (did, tie, text)."""
     spark = texts.sparkSession
     parts = width(spark)
-    cuts = splitters(texts, parts, length)
+    cuts, known = survey(texts, parts, length, hot)
 
     def pid_of(lead: np.ndarray) -> np.ndarray:
         return np.searchsorted(cuts, lead, side="right")
 
+    def is_hot(kmer: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, kmer), len(known) - 1)] == kmer if len(known) else np.zeros(len(kmer), bool)
+
     def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
         for i in range(batch.num_rows):
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode()
 
     def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows, lead = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        order, first = earliest(rows)
-        yield marks_of(rows[order[~first]], length, parts)
+        order, first, again = earliest(rows)
+        yield marks_of(rows[order[again]], length, parts)
         rows, pid = rows[order[first]], pid_of(lead[order[first]])
+        pid = np.where(is_hot(rows["kmer"]), rows["full"] % np.uint64(parts), pid).astype(np.int64)
         by = np.argsort(pid, kind="stable")
         rows, pid = rows[by], pid[by]
         edge = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
@@ -251,12 +312,12 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
             blobs += batch.column(5).drop_null().to_pylist()
         rows = np.frombuffer(b"".join(blobs), ANCHOR)
         del blobs
-        order, first = earliest(rows)
-        yield marks_of(rows[order[~first]], length)
+        order, first, again = earliest(rows)
+        yield marks_of(rows[order[again]], length)
         rows = rows[order[first]]
         edge = np.flatnonzero(np.r_[True, rows["kmer"][1:] != rows["kmer"][:-1]])[: len(rows)]
         size = np.diff(np.r_[edge, len(rows)])
-        many = np.repeat(size, size)
+        many = np.where(is_hot(rows["kmer"]), max(hot, 1) + 1, np.repeat(size, size))
         rows, many = rows[many > 1], many[many > 1]
         for a in range(0, len(rows), 20_000):
             r = rows[a : a + 20_000]
@@ -266,7 +327,21 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
     settled = cut(dealt(texts.mapInArrow(sample, SCHEMA), parts).mapInArrow(settle, SCHEMA))
     open_ = settled.where("pid >= 0").groupBy("did").agg(F.collect_list(F.struct("pid", "blob")).alias("open"))
 
+    def deal_strings(rows: list[np.ndarray], reaches: list[bytes]) -> Iterator[pa.RecordBatch]:
+        strings = own_strings(np.concatenate(rows), reaches, length)
+        order, first, again = earliest(strings)
+        yield merged(strings[order[again]], length, parts)
+        strings = strings[order[first]]
+        pid = (strings["kmer"] % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(pid, kind="stable")
+        strings, pid = strings[by], pid[by]
+        edge = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
+        yield blob_batch(pid[edge].tolist(), [STRINGS + strings[a:b].tobytes() for a, b in zip(edge, np.r_[edge[1:], len(strings)], strict=True)])
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        reaches: list[bytes] = []
+        size = 0
         for batch in batches:
             found: dict[int, list[bytes]] = {}
             for i in range(batch.num_rows):
@@ -276,20 +351,34 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
                     if row["tie"][0] != tie:
                         continue
                     low = int(row["pos"][0]) - int(row["left"][0])
-                    if item["pid"]:  # hot: each owned string by itself, in the bucket of its hash
-                        reach = text[low : low + int(row["right"][0]) + length]
-                        keys = Hashes(np.frombuffer(reach, np.uint8)).every(length)
-                        for off, key in enumerate(keys.tolist()):
-                            one = row.copy()
-                            one["kmer"], one["pos"], one["left"], one["right"] = key, low + off, 0, 0
-                            found.setdefault(key % parts, []).append(one.tobytes() + reach[off : off + length])
+                    reach = text[low : low + int(row["right"][0]) + length]
+                    if item["pid"]:  # hot
+                        rows.append(row)
+                        reaches.append(reach)
+                        size += len(reach)
+                        if size >= REACHES:
+                            yield from deal_strings(rows, reaches)
+                            rows, reaches, size = [], [], 0
                     else:
                         lead = int.from_bytes(text[int(row["pos"][0]) : int(row["pos"][0]) + 8], "big")
-                        found.setdefault(int(pid_of(np.array([lead], np.uint64))[0]), []).append(row.tobytes() + text[low : low + int(row["right"][0]) + length])
+                        found.setdefault(int(pid_of(np.array([lead], np.uint64))[0]), []).append(REACH + row.tobytes() + reach)
             yield blob_batch([p for p, b in found.items() for _ in b], [x for b in found.values() for x in b])
+        if rows:
+            yield from deal_strings(rows, reaches)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(0).to_pylist()]
+        blobs, single = [], []
+        for batch in batches:
+            passed = batch.filter(batch.column(5).is_null())
+            if passed.num_rows:
+                yield mark_batch(*(passed.column(k).to_numpy() for k in range(1, 5)))
+            for b in batch.column(5).drop_null().to_pylist():
+                (single if b[:1] == STRINGS else blobs).append(b[1:])
+        strings = np.frombuffer(b"".join(single), ANCHOR)
+        del single
+        order, first, again = earliest(strings)
+        yield merged(strings[order[again]], length)
+        del strings, order, first, again
         rows = np.frombuffer(b"".join(b[: ANCHOR.itemsize] for b in blobs), ANCHOR)
         order = np.argsort(rows["kmer"], kind="stable")
         # groups of one anchor stay together; slices of about so many strings are sorted at a time
@@ -313,7 +402,7 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
             a = b
 
     joined = texts.repartition(parts, "did").join(open_.hint("merge"), "did").select("tie", "text", "open")
-    compared = dealt(joined.mapInArrow(fetch, SCHEMA), parts).select("blob").mapInArrow(compare, SCHEMA)
+    compared = dealt(joined.mapInArrow(fetch, SCHEMA), parts).mapInArrow(compare, SCHEMA)
     marks = lambda df: df.where("pid = -1").select("did", "tie", "start", "size")
     return marks(settled).unionByName(marks(compared))
 

@@ -267,7 +267,8 @@ def test_suffix_dedup(spark, hot):
             seen.add(data[p : p + 100])
         kept = bytes(c for c, x in zip(data, gone, strict=True) if not x)
         want[i] = (len(data), sum(gone), sum(x and not (k and gone[k - 1]) for k, x in enumerate(gone)), hashlib.sha256(kept).hexdigest())
-    got = suffix_dedup.drop_repeats(docs(spark, rows + [(None, base, "s")]).repartition(5), hot=hot).collect()
+    got = suffix_dedup.drop_repeats(docs(spark, rows + [rows[3], rows[7], rows[-2], (None, base, "s")]).repartition(5), hot=hot).collect()
+    assert len(got) == len(rows) + 4
     assert {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == want
     last = [r for r in got if r.doc_id is None]
     assert len(last) == 1 and last[0].n_removed == last[0].n_bytes

@@ -155,10 +155,19 @@ def earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marks_of(rows: np.ndarray, length: int, parts: int = 0) -> pa.RecordBatch:
-    """Marks over all strings that the anchors own; parts: to be dealt to so many buckets."""
+    """Marks over all strings that the rows own, strings that follow each other in one mark.
+
+    parts: to be dealt to so many buckets, by place, as very many marks may be of one passage.
+    """
     start = rows["pos"].astype(np.int64) - rows["left"]
-    pid = (rows["full"] % np.uint64(parts)).astype(np.int32) if parts else None
-    return mark_batch(rows["did"], rows["tie"], start, rows["right"].astype(np.int64) + length, pid)
+    order = np.lexsort((start, rows["tie"], rows["did"]))
+    did, tie, start = rows["did"][order], rows["tie"][order], start[order]
+    last = start + rows["right"][order]
+    edge = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > last[:-1] + 1)])[: len(rows)]
+    end = np.r_[edge[1:], len(rows)][: len(edge)] - 1
+    with np.errstate(over="ignore"):
+        pid = (mixed(did[edge].astype(np.uint64) * _P + start[edge].astype(np.uint64)) % np.uint64(parts)).astype(np.int32) if parts else None
+    return mark_batch(did[edge], tie[edge], start[edge], last[end] - start[edge] + length, pid)
 
 
 SCHEMA = "pid int, did long, tie long, start long, size long, blob binary"
@@ -227,16 +236,6 @@ def own_strings(rows: np.ndarray, text: list[bytes], length: int) -> np.ndarray:
     return out
 
 
-def merged(rows: np.ndarray, length: int, parts: int = 0) -> pa.RecordBatch:
-    """Marks over the strings at the rows' places, strings that follow each other in one mark."""
-    rows = rows[np.lexsort((rows["pos"], rows["tie"], rows["did"]))]
-    did, tie, pos = rows["did"], rows["tie"], rows["pos"].astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (tie[1:] != tie[:-1]) | (pos[1:] > pos[:-1] + 1)])[: len(rows)]
-    last = np.r_[edge[1:], len(rows)][: len(edge)] - 1
-    pid = (rows["full"][edge] % np.uint64(parts)).astype(np.int32) if parts else None
-    return mark_batch(did[edge], tie[edge], pos[edge], pos[last] - pos[edge] + length, pid)
-
-
 def dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("pid")) if hasattr(df, "repartitionById") else df.repartition(parts, "pid")
 
@@ -330,7 +329,7 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
     def deal_strings(rows: list[np.ndarray], reaches: list[bytes]) -> Iterator[pa.RecordBatch]:
         strings = own_strings(np.concatenate(rows), reaches, length)
         order, first, again = earliest(strings)
-        yield merged(strings[order[again]], length, parts)
+        yield marks_of(strings[order[again]], length, parts)
         strings = strings[order[first]]
         pid = (strings["kmer"] % np.uint64(parts)).astype(np.int64)
         by = np.argsort(pid, kind="stable")
@@ -377,7 +376,7 @@ def repeated(texts: DataFrame, length: int, hot: int) -> DataFrame:
         strings = np.frombuffer(b"".join(single), ANCHOR)
         del single
         order, first, again = earliest(strings)
-        yield merged(strings[order[again]], length)
+        yield marks_of(strings[order[again]], length)
         del strings, order, first, again
         rows = np.frombuffer(b"".join(b[: ANCHOR.itemsize] for b in blobs), ANCHOR)
         order = np.argsort(rows["kmer"], kind="stable")

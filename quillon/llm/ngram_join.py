@@ -9,8 +9,10 @@
    Connected parts of these links are candidate groups.
 3. Members of candidate groups send their full sets to square tiles of their group, each of at
    most about ``tile`` members a side; a tile compares sets exactly and returns link counts and a
-   spanning forest of links, never pairs.  All pairs of a candidate group are compared, so links
-   that no band found are found as well.
+   spanning forest of links, never pairs.  Groups of more than one tile are cut into classes of
+   set size first, each a factor of 1/threshold wide; similar sets lie in one class or in
+   neighbouring ones, so other classes never meet.  All other pairs of a candidate group are
+   compared, so links that no band found are found as well.
 4. Links' connected parts are the classes; the smallest identifier stands for each.
 
 Words are maximal runs of letters, digits and non-ASCII characters in lower case.  A text of
@@ -40,6 +42,8 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = np.random.default_rng(29).integers(0, 2**64, 256, dtype=np.uint64)
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 SALTS = 64
+#: Tiles of a size class are numbered from its number times this.
+SIDES = 1 << 40
 
 
 def plan_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -186,14 +190,25 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     bands, rows = plan_bands(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     every = cut(signatures(texts, n, bands, rows))
-    known = every.where("_id is not null and _n > 0").groupBy("_id").agg(F.min(F.struct("_d1", "_d2", "_bands")).alias("_s")).select("_id", "_s.*")
-    members = cut(known.groupBy("_d1", "_d2").agg(F.min("_id").alias("_id"), F.count("*").alias("_weight"), F.first("_bands").alias("_bands")))
+    known = every.where("_id is not null and _n > 0").groupBy("_id").agg(F.min(F.struct("_d1", "_d2", "_n", "_bands")).alias("_s")).select("_id", "_s.*")
+    members = cut(known.groupBy("_d1", "_d2").agg(F.min("_id").alias("_id"), F.count("*").alias("_weight"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
     buckets = members.select("_id", F.posexplode("_bands").alias("_band", "_key"))
     comps = components(star(buckets, ["_band", "_key"]))
-    per = comps.groupBy("component").agg(F.count("*").alias("_size")).select(F.col("component").alias("_g"), F.ceil(F.col("_size") / tile).cast("int").alias("_tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    placed = comps.select(F.col("node").alias("_id"), F.col("component").alias("_g"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt")).join(per.hint("merge"), ["_g", "_salt"])
-    placed = placed.withColumn("_tile", F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_tiles")).cast("int"))
-    placed = placed.join(members.select("_id", "_weight", "_d1", "_d2").hint("merge"), "_id")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt")
+    placed = comps.select(F.col("node").alias("_id"), F.col("component").alias("_g"), salt).join(members.select("_id", "_weight", "_d1", "_n").hint("merge"), "_id")
+    # a class is a hair wider than the factor, so that rounding never parts similar sets by two
+    step = max(math.log(1 / threshold) * (1 + 1e-9), 1e-3)
+    placed = cut(placed.withColumn("_c", F.floor(F.ln("_n") / step).cast("int")))
+    counts = placed.groupBy("_g", "_c").agg(F.ceil(F.count("*") / tile).cast("int").alias("_own"), F.count("*").alias("_k"))
+    by_class = Window.partitionBy("_g").orderBy("_c")
+    beside = lambda k: F.when(F.col("_large"), F.coalesce(F.sum("_own").over(by_class.rangeBetween(k, k)), F.lit(0))).otherwise(0).cast("int")
+    per = counts.withColumn("_large", F.sum("_k").over(Window.partitionBy("_g")) > tile)
+    per = per.select("_g", "_c", F.when(F.col("_large"), F.col("_c")).otherwise(0).alias("_class"), F.when(F.col("_large"), F.col("_own")).otherwise(1).alias("_own"), beside(-1).alias("_before"), beside(1).alias("_after"))
+    per = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    placed = placed.join(per.hint("merge"), ["_g", "_c", "_salt"])
+    placed = placed.withColumn("_tile", F.col("_class") * F.lit(SIDES) + F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_own")))
+
+    kept = ["_id", "_g", "_tile", "_class", "_own", "_before", "_after", "_weight"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,12 +219,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
                     digest = np.array([int(mixed(flat[a : a + k]).sum(dtype=np.uint64)) for a, k in zip(first, sizes, strict=True)], np.uint64).view(np.int64)
                 values = pa.array([flat[a : a + k].tobytes() for a, k in zip(first, sizes, strict=True)], pa.binary())
                 rest = batch.slice(start, len(part))
-                right = pa.array(digest == rest.column(6).to_numpy())
-                yield pa.RecordBatch.from_arrays([*(rest.column(k) for k in range(1, 6)), values], names=["_id", "_g", "_tile", "_tiles", "_weight", "_set"]).filter(right)
-
-    own = texts.join(placed.hint("merge"), "_id").select("_text", "_id", "_g", "_tile", "_tiles", "_weight", "_d1")
-    full = own.mapInArrow(sets, "_id long, _g long, _tile int, _tiles int, _weight long, _set binary")
-    full = full.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
+                right = pa.array(digest == rest.column(9).to_numpy())
+                yield pa.RecordBatch.from_arrays([*(rest.column(k) for k in range(1, 9)), values], names=[*kept, "_set"]).filter(right)
+
+    own = texts.join(placed.hint("merge"), "_id").select("_text", *kept, "_d1")
+    full = own.mapInArrow(sets, "_id long, _g long, _tile long, _class int, _own int, _before int, _after int, _weight long, _set binary")
+    sides = lambda n, k: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i + (F.col("_class") + k) * F.lit(SIDES))).otherwise(F.array().cast("array<long>"))
+    others = F.concat(sides(F.col("_own"), 0), sides(F.col("_before"), -1), sides(F.col("_after"), 1))
+    full = full.select("*", F.explode(others).alias("_other"))
     full = full.select("_g", F.least("_tile", "_other").alias("_a"), F.greatest("_tile", "_other").alias("_b"), "_id", "_tile", "_weight", "_set")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,6 +193,7 @@ def near(text, k):
 def test_jaccard_classes(spark):
     base = [words(k, 150) for k in range(12)]
     rows = ODD + [(10_000 + 100 * k + j, near(t, 17 * j) if j else t, "s") for k, t in enumerate(base) for j in range(k + 1)] + [(20_000 + k, near(base[0], k), "h") for k in range(150)]
+    rows += [(30_000 + k, " ".join(base[5].split()[:k]), "h") for k in range(20, 150)]
     got = {}
     for r in ngram_join.jaccard_classes(docs(spark, rows), tile=16).collect():
         assert got.setdefault(r.doc_id, r) == r

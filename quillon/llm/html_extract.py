@@ -3,14 +3,17 @@
 A page is parsed into its blocks and a skeleton: the tree of its block elements by tag and class,
 with runs of like siblings as one node.  Skeletons of one host are aligned by simple tree
 matching (equal roots, then the best order-keeping match of the children) and folded into the
-host's template: how many pages have a node, and whether its text is the same in all of them.
+host's template: how many pages have a node, which of its blocks all of them share, and whether
+any two of them differ (copies of one page show nothing constant).
 Tasks fold the pages they read, partial templates are folded again by host in two salted
 rounds, so one host with a third of all pages costs no task more than one template a task.
 
 To extract, a page's skeleton is aligned with its host's template.  Elements that name their
-part (nav, footer, forms, a class such as "sidebar") are left out.  If the page marks its main
-part (article, main), that is the slot.  Else nodes whose text never varies on the host are
-template, lists of links are menus, and the slot is the deepest node that holds most of the
+part (nav, footer, forms, a class such as "sidebar") are left out.  Blocks that all pages with
+their node share are template and left out as well, if pages that differ have the node and at
+least half of those with its parent do.  If the page marks its main part (article, main), that is
+the slot; it stays whole where over half of it would be template, as near copies of one page look
+like that.  Else lists of links are menus, and the slot is the deepest node that holds most of the
 varying text.  The slot's blocks are the text.
 
 Wrappers of all hosts are sent to executors only if they take at most ``bound`` bytes together;
@@ -78,6 +81,10 @@ def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
     return key, out, not out and (tag in ("article", "main") or role in ("main", "article"))
 
 
+def digest(text: str) -> str:
+    return blake2b(text.encode(errors="replace"), digest_size=8).hexdigest()
+
+
 class Page:
     """Skeleton (keys, parents, children of nodes; 0 is the root) and blocks (node, text, link characters)."""
 
@@ -197,20 +204,20 @@ class Page:
     def signature(self) -> str:
         return "\n".join(f"{p} {k}" for p, k in zip(self.parent, self.keys, strict=True))
 
-    def texts(self) -> list[str]:
-        """A digest of the text of each node, '' without text."""
-        own: list[list[str]] = [[] for _ in self.keys]
+    def texts(self) -> tuple[list[set[str]], str]:
+        """Digests of the blocks of each node, and one of the page."""
+        own: list[set[str]] = [set() for _ in self.keys]
         for node, text, _ in self.blocks:
-            own[node].append(text)
-        return [blake2b("\n".join(t).encode(errors="replace"), digest_size=8).hexdigest() if t else "" for t in own]
+            own[node].add(digest(text))
+        return own, digest("\n".join(t for _, t, _ in self.blocks))
 
 
 class Template:
-    """A host's folded skeletons: nodes with keys, children, pages, and the one text digest or '*'."""
+    """A host's folded skeletons: nodes with keys, children, pages, the digests of the blocks that all pages with the node share, and the digest of its one page or '*'."""
 
     def __init__(self) -> None:
         self.keys, self.parent, self.children = ["#root"], [-1], [[]]
-        self.pages, self.text = [0], [""]
+        self.pages, self.shared, self.seen = [0], [set()], [""]
         self.known: dict[str, list[int]] = {}
 
     def match(self, keys: list[str], children: list[list[int]]) -> list[int]:
@@ -258,8 +265,9 @@ class Template:
                     self.parent.append(at)
                     self.children.append([])
                     self.pages.append(0)
-                    self.text.append("")
-                    before = [found[s] for s in children[parent[node]][: children[parent[node]].index(node)]]
+                    self.shared.append(set())
+                    self.seen.append("")
+                    before = [found[s] for s in children[parent[node]][: children[parent[node]].index(node)] if found[s] >= 0]
                     own = self.children[at]
                     own.insert(own.index(before[-1]) + 1 if before and before[-1] in own else 0, found[node])
             if len(self.known) >= 200:
@@ -267,9 +275,10 @@ class Template:
             self.known[signature] = found
         return self.known[signature]
 
-    def fold(self, signature: str, keys: list[str], parent: list[int], children: list[list[int]], pages: list[int], text: list[str]) -> None:
-        for t, n, x in zip(self.places(signature, keys, parent, children), pages, text, strict=True):
-            self.text[t] = x if not self.pages[t] or self.text[t] == x else "*"
+    def fold(self, signature: str, keys: list[str], parent: list[int], children: list[list[int]], pages: list[int], shared: list[set[str]], seen: list[str]) -> None:
+        for t, n, x, one in zip(self.places(signature, keys, parent, children), pages, shared, seen, strict=True):
+            self.shared[t] = self.shared[t] & x if self.pages[t] else x
+            self.seen[t] = one if not self.pages[t] or self.seen[t] == one else "*"
             self.pages[t] += n
 
     def aligned(self, page: Page) -> list[int]:
@@ -281,35 +290,40 @@ class Template:
             self.known[signature] = self.match(page.keys, page.children)
         return self.known[signature]
 
+    def varying(self, page: Page, blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+        """Those of the page's blocks that are not template."""
+        place = self.aligned(page)
+        told = [p >= 0 and self.seen[p] == "*" and 2 * self.pages[p] >= self.pages[max(self.parent[p], 0)] for p in place]
+        return [b for b in blocks if not (told[b[0]] and self.shared[place[b[0]]] and digest(b[1]) in self.shared[place[b[0]]])]
+
     def add(self, page: Page) -> None:
-        self.fold(page.signature(), page.keys, page.parent, page.children, [1] * len(page.keys), page.texts())
+        shared, one = page.texts()
+        self.fold(page.signature(), page.keys, page.parent, page.children, [1] * len(page.keys), shared, [one] * len(page.keys))
 
     def dump(self) -> bytes:
-        return json.dumps([self.keys, self.parent, self.children, self.pages, self.text]).encode()
+        return json.dumps([self.keys, self.parent, self.children, self.pages, [sorted(x) for x in self.shared], self.seen]).encode()
 
     @classmethod
     def load(cls, data: bytes) -> Template:
         out = cls()
-        out.keys, out.parent, out.children, out.pages, out.text = json.loads(data)
+        out.keys, out.parent, out.children, out.pages, shared, out.seen = json.loads(data)
+        out.shared = [set(x) for x in shared]
         return out
 
     def merge(self, other: Template) -> None:
-        self.fold(json.dumps([other.keys, other.parent]), other.keys, other.parent, other.children, other.pages, other.text)
+        self.fold(json.dumps([other.keys, other.parent]), other.keys, other.parent, other.children, other.pages, other.shared, other.seen)
 
 
 def main_text(html: str, template: Template | None) -> str:
     """The blocks of the page's main part, joined by newlines."""
     page = Page(html)
+    left = [b for b in page.blocks if not page.out[b[0]]]
+    varying = template.varying(page, left) if template is not None else left
     if any(page.main):
-        chosen = [t for node, t, _ in page.blocks if not page.out[node] and page.inside_main(node)]
-        if chosen:
-            return "\n".join(chosen)
-    left = [(node, t, link) for node, t, link in page.blocks if not page.out[node]]
-    if template is not None and template.pages[0] >= 2:
-        place = template.aligned(page)
-        constant = [p >= 0 and template.pages[p] >= 2 and template.text[p] not in ("", "*") for p in place]
-        varying = [b for b in left if not constant[b[0]]]
-        left = varying or left
+        marked, chosen = ([t for node, t, _ in blocks if page.inside_main(node)] for blocks in (left, varying))
+        if marked:
+            return "\n".join(chosen if 2 * sum(map(len, chosen)) >= sum(map(len, marked)) else marked)
+    left = varying or left
     told = [b for b in left if b[2] < 0.8 * len(b[1])]
     left = told or left
     weight = [0] * len(page.keys)

@@ -331,6 +331,25 @@ def test_html_extraction(spark, bound):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_template_decides_inside_main(spark):
+    def page(i, more=""):
+        return f'<main><div><h1>Story {i}</h1><p>Share this line with your friends</p><p>{f"Words of number {i}. " * 9}</p>{more}<div class="box">Written by the staff</div></div></main>'
+
+    table = "<table><tr><td>Only here</table>"
+    near = [f"<article><p>Seen on day {i}</p><p>{'The same long report of one page. ' * 5}</p></article>" for i in range(2)]
+    rows = [(k, f"http://many.test/{k}", page(k)) for k in range(6)]
+    rows += [(10 + k, f"http://many.test/c{k}", page(99, table)) for k in range(2)]
+    rows += [(20 + k, f"http://near.test/{k}", h) for k, h in enumerate(near)]
+    rows += [(30 + k, f"http://copy.test/{k}", page(7)) for k in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(6):
+        assert got[k] == f"Story {k}\n" + (f"Words of number {k}. " * 9).strip()
+    for k in range(2):
+        assert got[10 + k] == "Story 99\n" + ("Words of number 99. " * 9).strip() + "\nOnly here"
+        assert got[20 + k] == f"Seen on day {k}\n" + ("The same long report of one page. " * 5).strip()
+        assert got[30 + k] == "Story 7\nShare this line with your friends\n" + ("Words of number 7. " * 9).strip() + "\nWritten by the staff"
+
+
 def test_html_never_hangs():
     for bad in ("<a" * 20_000, "<" * 20_000, "<!" * 20_000, '<a "' * 20_000, "<p>" * 5_000, "&" * 20_000, "<!--" * 5_000):
         html_extract.main_text(bad, None)

@@ -13,8 +13,7 @@ part (nav, footer, forms, a class such as "sidebar") are left out.  Blocks that
 their node share are template and left out as well, if pages that differ have the node and at
 least half of those with its parent do.  If the page marks its main part (article, main), that is
 the slot; it stays whole where over half of it would be template, as near copies of one page look
-like that.  Else lists of links are menus, and the slot is the deepest node that holds most of the
-varying text.  The slot's blocks are the text.
+like that.  Else the slot is the page.  All other blocks of the slot are the text.
 
 Wrappers of all hosts are sent to executors only if they take at most ``bound`` bytes together;
 beyond, they are joined to the pages by host and salt.
@@ -86,12 +85,12 @@ def digest(text: str) -> str:
 
 
 class Page:
-    """Skeleton (keys, parents, children of nodes; 0 is the root) and blocks (node, text, link characters)."""
+    """Skeleton (keys, parents, children of nodes; 0 is the root) and blocks (node, text)."""
 
     def __init__(self, html: str):
         self.keys, self.parent, self.children = ["#root"], [-1], [[]]
         self.out, self.main, self.depth = [False], [False], [0]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str]] = []
         self.parse(html)
 
     def child(self, at: int, cursor: int, tag: str, attrs: str) -> tuple[int, int]:
@@ -124,16 +123,13 @@ class Page:
     def parse(self, html: str) -> None:
         stack: list[list] = [["#root", 0, 0]]  # tag, node, place of the last child
         text: list[str] = []
-        links = link_depth = 0
 
         def flush() -> None:
-            nonlocal links
             if text:
                 joined = " ".join(unescape("".join(text)).split())
                 if joined:
-                    self.blocks.append((stack[-1][1], joined, links))
+                    self.blocks.append((stack[-1][1], joined))
                 text.clear()
-            links = 0
 
         def pop_to(k: int) -> None:
             flush()
@@ -147,18 +143,13 @@ class Page:
                 text.append(rest if "<" not in rest or not re.search(r"<[a-zA-Z!/?]", rest) else re.split(r"<[a-zA-Z!/?]", rest, maxsplit=1)[0])
                 break
             if m.start() > pos:
-                piece = html[pos : m.start()]
-                text.append(piece)
-                if link_depth:
-                    links += len(piece)
+                text.append(html[pos : m.start()])
             pos = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
                 continue
             closing, attrs = m[1] or m[4], m[3] or m[6] or ""
             if closing:
-                if tag == "a":
-                    link_depth = max(0, link_depth - 1)
                 if tag in INLINE:
                     continue
                 if tag == "p" and not any(s[0] == "p" for s in stack):
@@ -173,8 +164,6 @@ class Page:
                 pos = end.end() if end else size
                 continue
             if tag in INLINE:
-                if tag == "a" and not attrs.rstrip().endswith("/"):
-                    link_depth = 1
                 continue
             if tag in VOID:
                 if tag in ("br", "hr"):
@@ -207,9 +196,9 @@ class Page:
     def texts(self) -> tuple[list[set[str]], str]:
         """Digests of the blocks of each node, and one of the page."""
         own: list[set[str]] = [set() for _ in self.keys]
-        for node, text, _ in self.blocks:
+        for node, text in self.blocks:
             own[node].add(digest(text))
-        return own, digest("\n".join(t for _, t, _ in self.blocks))
+        return own, digest("\n".join(t for _, t in self.blocks))
 
 
 class Template:
@@ -290,7 +279,7 @@ class Template:
             self.known[signature] = self.match(page.keys, page.children)
         return self.known[signature]
 
-    def varying(self, page: Page, blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    def varying(self, page: Page, blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
         """Those of the page's blocks that are not template."""
         place = self.aligned(page)
         told = [p >= 0 and self.seen[p] == "*" and 2 * self.pages[p] >= self.pages[max(self.parent[p], 0)] for p in place]
@@ -320,27 +309,10 @@ def main_text(html: str, template: Template | None) -> str:
     left = [b for b in page.blocks if not page.out[b[0]]]
     varying = template.varying(page, left) if template is not None else left
     if any(page.main):
-        marked, chosen = ([t for node, t, _ in blocks if page.inside_main(node)] for blocks in (left, varying))
+        marked, chosen = ([t for node, t in blocks if page.inside_main(node)] for blocks in (left, varying))
         if marked:
             return "\n".join(chosen if 2 * sum(map(len, chosen)) >= sum(map(len, marked)) else marked)
-    left = varying or left
-    told = [b for b in left if b[2] < 0.8 * len(b[1])]
-    left = told or left
-    weight = [0] * len(page.keys)
-    for node, t, _ in left:
-        while node >= 0:
-            weight[node] += len(t)
-            node = page.parent[node]
-    slot = 0
-    while (down := max(page.children[slot], key=weight.__getitem__, default=None)) is not None and weight[down] >= 0.7 * weight[0]:
-        slot = down
-
-    def inside(node: int) -> bool:
-        while node > slot:
-            node = page.parent[node]
-        return node == slot
-
-    return "\n".join(t for node, t, _ in left if inside(node))
+    return "\n".join(t for _, t in varying or left)
 
 
 def host_of(url: str | None) -> str:

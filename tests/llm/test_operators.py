@@ -350,6 +350,18 @@ def test_html_template_decides_inside_main(spark):
         assert got[30 + k] == "Story 7\nShare this line with your friends\n" + ("Words of number 7. " * 9).strip() + "\nWritten by the staff"
 
 
+def test_html_keeps_all_that_varies(spark):
+    def page(i):
+        body = f'<h1>Title {i}</h1><p>{f"First part of {i}. " * 20}</p><p>Second {i}</p><ul><li>Item {i}</li><li><a href="/{i}">Linked item {i}</a></li></ul><h2>Part {i}</h2><p>Below {i}</p><table><tr><td>Cell {i}</table><p><a href="/s">Source {i}</a></p>'
+        return f'<body><div class="a1"><a href="/">Home</a></div><div class="c1"><div>{body}</div></div><div class="d1">Dated {i}</div><div class="e1">All rights reserved</div></body>'
+
+    rows = [(k, f"http://all.test/{k}", page(k)) for k in range(5)] + [(9, "http://one.test/", page(9))]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = lambda i: "\n".join([f"Title {i}", (f"First part of {i}. " * 20).strip(), f"Second {i}", f"Item {i}", f"Linked item {i}", f"Part {i}", f"Below {i}", f"Cell {i}", f"Source {i}", f"Dated {i}"])
+    assert all(got[k] == want(k) for k in range(5))
+    assert got[9] == f"Home\n{want(9)}\nAll rights reserved"
+
+
 def test_html_never_hangs():
     for bad in ("<a" * 20_000, "<" * 20_000, "<!" * 20_000, '<a "' * 20_000, "<p>" * 5_000, "&" * 20_000, "<!--" * 5_000):
         html_extract.main_text(bad, None)

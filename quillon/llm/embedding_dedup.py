@@ -6,10 +6,10 @@ filed in the cell of its two nearest codewords.  A query visits cells in the ord
 bound on the distance to anything filed there: for each half the distance to the plane between
 the nearest codeword and the cell's one, the squares added up, as a multi-sequence traversal of
 the two sorted lists.  It ends where the bound exceeds the distance that the wanted cosine
-allows, where the recall is 1, or earlier, at the bound within which the wanted share of pairs
-at exactly that cosine meet: measured on the sample's vectors turned by that angle in random
-directions, which is the worst case, as closer pairs meet sooner.  Visited vectors are verified
-in double precision.
+allows, so that every pair meets.  A ``recall`` below 1 ends it earlier, at the bound within which
+that share of the sample's vectors, turned by that angle in random directions, meet; pairs that
+differ within a subspace of few dimensions cross more borders and are lost more often than that.
+Visited vectors are verified in double precision.
 
 Equal vectors of one label are filed once, with their number as weight.  A cell and its visitors
 are compared in tiles of at most about ``tile`` rows a side, so a cell that holds a third of all
@@ -140,11 +140,11 @@ def tile_links(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray,
     return ids[q], close @ weight[f], every[reach(linked)][place[q]]
 
 
-def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, words: int | None = None, recall: float = 0.9998, tile: int = 128, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, words: int | None = None, recall: float = 1.0, tile: int = 128, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept.
 
     words: codewords a half; by default so many that a cell holds about 200 vectors, 4 to 2,048.
-    recall: share of pairs at exactly the wanted cosine that a traversal must meet.
+    recall: 1 meets all pairs; less is a share of pairs at exactly the wanted cosine, in random directions.
     label_col: only vectors with equal, not null labels link; None compares all.
     """
     v = F.col(vec_col).cast("array<double>")

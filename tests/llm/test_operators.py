@@ -252,6 +252,15 @@ def test_embedding_links(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i, _, _ in bad)
 
 
+def test_embedding_links_in_few_dimensions(spark):
+    rng = np.random.default_rng(5)
+    x = np.float32(rng.normal(size=(1500, 5)) @ rng.normal(size=(5, 64))).astype(float)
+    df = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(df, words=16).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_suffix_dedup(spark, hot):
     base = words(9, 400)

@@ -15,6 +15,8 @@ table gives an empty result.  Only named columns are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +47,17 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return found
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 40, every: int = 4, close: float = 1e-9) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, every: int = 4, close: float = 1e-9) -> DataFrame:
     """Personalised PageRank for several kinds of score at once: (kind, host, score).
 
     seeds: (kind, host, weight), the weights of a kind adding up to 1.  edges: (kind, from, to,
-    share), the shares of a (kind, from) adding up to 1.  Ends when scores move less than
-    ``close`` in all between two cuts of the lineage.
+    share), the shares of a (kind, from) adding up to 1.  Ends when scores move at most ``close`` in
+    all between two cuts of the lineage; as what moves shrinks by ``damping`` a round, that takes
+    a bounded number of rounds, and an error is raised where ``rounds`` are fewer than needed.
     """
+    if rounds is None:
+        kinds = seeds.select("kind").distinct().count()
+        rounds = every * (math.ceil(math.log(close / (4 * max(1, kinds))) / (math.log(damping) if damping > 0 else -math.inf) / every) + 2)
     scores = seeds.select("kind", "host", F.col("weight").alias("score"))
     restart = seeds.select("kind", "host", ((1 - damping) * F.col("weight")).alias("score"))
     old = scores
@@ -63,12 +69,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             both = scores.unionByName(old.select("kind", "host", (-F.col("score") if step > every else F.lit(0.0)).alias("score")))
             moved = both.groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
             if step > every and (moved or 0) <= close:
-                break
+                return scores
             old = scores
-    return scores
+    raise RuntimeError(f"scores still move by more than {close} after {rounds} rounds")
 
 
-def host_scores(pages: DataFrame, judged: DataFrame, url_col: str, html_col: str, damping: float) -> DataFrame:
+def host_scores(pages: DataFrame, judged: DataFrame, rules: tuple[tuple[str, str, str], ...], url_col: str, html_col: str, damping: float) -> DataFrame:
     """(host, trust, distrust) of hosts that seeds reach."""
     link = F.explode(F.regexp_extract_all(F.col("_html"), F.lit(LINK), 1))
     own, _ = host_and_path(F.col("_url"))
@@ -79,7 +85,11 @@ def host_scores(pages: DataFrame, judged: DataFrame, url_col: str, html_col: str
     whole = both.groupBy("kind", "from").agg(F.sum("n").alias("_all"))
     edges = cut(both.join(whole, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("_all")).alias("share")))
     kind = F.when(F.col("_rule.verdict") == "allow", "trust").otherwise("distrust")
-    seeds = judged.where("_rule is not null and host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("n"))
+    # hosts that are only linked to have no pages to judge: a rule of the whole host makes them seeds of weight 1
+    linked = counted.select(F.col("to").alias("host")).distinct().join(judged.select("host").distinct(), "host", "left_anti")
+    linked = linked.withColumn("_rule", rule_of(F.col("host"), F.lit("/"), rules))
+    every = judged.select("host", "_rule").unionByName(linked)
+    seeds = every.where("_rule is not null and host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("n"))
     total = seeds.groupBy("kind").agg(F.sum("n").alias("_all"))
     seeds = cut(seeds.join(total, "kind").select("kind", "host", (F.col("n") / F.col("_all")).alias("weight")))
     scores = propagate(seeds, edges, damping)
@@ -95,7 +105,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     host, path = host_and_path(F.col("_url"))
     judged = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")).select("_id", host.alias("host"), path.alias("path"))
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    scores = host_scores(pages, judged, url_col, html_col, damping)
+    scores = host_scores(pages, judged, rules, url_col, html_col, damping)
     spread = scores.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     ruled = judged.where("_rule is not null").select("_id", "host", "path", "_rule.rule", "_rule.verdict", F.lit(None).cast("double").alias("trust"), F.lit(None).cast("double").alias("distrust"))
     open_ = judged.where("_rule is null").withColumn("_salt", F.pmod(F.xxhash64("_id", "path"), F.lit(SALTS)).cast("int"))

@@ -318,6 +318,20 @@ def test_pagerank_matches_power_iteration(spark):
     assert got == pytest.approx(score, abs=1e-2)
 
 
+def test_pagerank_runs_until_it_is_close(spark):
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, weight double")
+    edges = spark.createDataFrame([("trust", "a", "b", 1.0), ("trust", "b", "a", 1.0)], "kind string, from string, to string, share double")
+    got = {r.host: r.score for r in url_filter.propagate(seeds, edges).collect()}
+    assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.85 * 0.15 / (1 - 0.85**2)}, abs=1e-8)
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(seeds, edges, rounds=8)
+
+
+def test_linked_hosts_without_pages_are_seeds(spark):
+    df = spark.createDataFrame([(1, "http://linker.test/", '<a href="http://unseen.net/x">u</a>')], "page_id long, url string, html string")
+    assert url_filter.url_filter(df).first().verdict == "block"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>"</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">Cookies</div><article><h1>A &amp; B</h1><p>One <b>two</b>&nbsp; three<br>four<p>five<ul><li>x<li>y</ul><div class="ad">Buy</div></article>
 <aside>Side</aside><form>Find <input></form><section class="comments"><p>Nice</p></section><footer>&copy;</footer></body></html>"""

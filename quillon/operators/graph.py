@@ -3,33 +3,47 @@
 from __future__ import annotations
 
 import re
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def depths(df: DataFrame, node: str, parent: str, most: int = 100) -> DataFrame:
-    """(node, depth) from the roots, 0 for rows without a parent; nodes of cycles are not reached."""
+def depths(df: DataFrame, node: str, parent: str, most: int | None = None) -> DataFrame:
+    """(node, depth) from the roots, 0 for rows without a parent; nodes of cycles are not reached.
+
+    Runs until a level is empty; raises where that takes more than ``most`` steps, by default the
+    number of nodes, which only a cycle below a root exceeds.
+    """
     edges = df.select(F.col(node).alias("n"), F.col(parent).alias("p"))
+    if most is None:
+        most = edges.select("n").distinct().count()
     level = edges.where("p is null").select("n", F.lit(0).alias("depth")).distinct()
     out = level
-    for k in range(1, most + 1):
+    for k in count(1):
         level = edges.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(k).alias("depth")).distinct().persist()
         if level.isEmpty():
             break
+        if k > most:
+            raise RuntimeError(f"nodes deeper than {most} steps")
         out = out.unionAll(level)
     return out
 
 
-def reachable(edges: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
-    """(source, target, hops): the shortest number of steps between all connected nodes."""
+def reachable(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+    """(source, target, hops): the shortest number of steps between all connected nodes.
+
+    Runs until no pair is new; raises where that takes more than ``most`` steps.
+    """
     step = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct().persist()
     known = step.select("a", "b", F.lit(1).alias("hops"))
     front = known
-    for k in range(2, most + 1):
+    for k in count(2):
         front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(k).alias("hops")).persist()
         if front.isEmpty():
             break
+        if most is not None and k > most:
+            raise RuntimeError(f"paths of more than {most} steps")
         known = known.unionAll(front)
     return known.withColumnsRenamed({"a": source, "b": target})
 

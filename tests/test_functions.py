@@ -103,6 +103,17 @@ def test_cycles_and_orphans(spark):
     assert [tuple(r) for r in graph.depths(df, "n", "p").collect()] == [(4, 0)]
 
 
+def test_no_path_is_cut_silently(spark):
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4)], "n int, p int")
+    assert sorted(tuple(r) for r in graph.depths(df, "n", "p").collect()) == [(k, k - 1) for k in range(1, 6)]
+    assert graph.reachable(df.where("p is not null"), "n", "p").count() == 10
+    for cut in (lambda: graph.depths(df, "n", "p", most=2), lambda: graph.reachable(df.where("p is not null"), "n", "p", most=2)):
+        with pytest.raises(RuntimeError):
+            cut()
+    with pytest.raises(RuntimeError):
+        graph.depths(spark.createDataFrame([(1, None), (2, 1), (1, 2)], "n int, p int"), "n", "p")
+
+
 def test_files_by_suffix(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, "c\nd")], "id int, s string")
     sinks.write_csv(sinks.csv_safe(df), f"{tmp_path}/x.csv")

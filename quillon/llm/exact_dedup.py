@@ -1,4 +1,4 @@
-"""Exact dedup: a tree of merges over sorted digest runs.
+"""Exact dedup: a tree of merges over digest runs, by hash aggregation: runs are not sorted.
 
 Every row belongs to a leaf, by the hash of its identifier.  A leaf combines its rows into a
 run of (digest, best identifier, rows).  In round j the runs of the 16 nodes whose labels

@@ -6,13 +6,14 @@ that fall into it count as unknown (the zero vector) and not as that feature.  F
 1 to 3 slide over the whole text, each is max-pooled, and a logistic layer reads the pools.
 Embeddings start from smoothed class log-odds in one dimension and noise in the others, then
 everything is trained by Adam.  Thresholds are calibrated on rows that training did not see, by
-the language guessed from the text's function words; a language with fewer than ten rows of
-either class there takes the common threshold.  The score is the logistic of the logit moved so
-that the threshold lies at ``cut``.
+the language guessed from the text's function words: a language's own threshold is shrunk
+towards the common one, the less the more rows of its rarer class there are.  The score is the
+logistic of the logit moved so that the threshold lies at ``cut``.
 
 Learning reads at most ``sample`` labelled rows, those with the smallest hashes of their
-identifiers, whose crc32(identifier as text) mod 3 is not 1.  The model's size is fixed by the
-number of buckets; it is the only thing sent to executors.
+identifiers, whose crc32(identifier as text) mod 3 is not 1, and of these texts while they take
+at most ``sample_bytes`` together.  It runs in one task.  The model's size is fixed by the number
+of buckets; it is the only thing that comes to the driver and goes to executors.
 
 Results in special cases: null and empty texts get the score of no words.  A null identifier is
 not held out.  Labels that are null or of absent rows are ignored; of several labels of one row
@@ -22,6 +23,7 @@ Only named columns are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,9 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 SLOTS = sum(WIDTHS)
+#: Rows of a language's rarer class at which its own threshold and the common one count alike.
+SHRINK = 10
 #: Frequent function words of four languages.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for with as was be by on are this from or at",
@@ -98,6 +103,16 @@ class Model:
     base: np.ndarray = field(default_factory=lambda: np.full(1, -40.0, np.float32))
     shift: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGS) + 1, np.float32))
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, **vars(self))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Model:
+        with np.load(io.BytesIO(data)) as found:
+            return cls(**{k: found[k] for k in found.files})
+
     def buckets(self, words: np.ndarray) -> np.ndarray:
         """Buckets of the hashes, 0 (kept empty) for unknown ones."""
         at = (words >> np.uint64(64 - BITS)).astype(np.int64)
@@ -244,11 +259,13 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5, steps: int = 360, ba
     rest = rest if 0 < toxic[rest].sum() < len(rest) else np.arange(len(texts))
     z = np.concatenate([model.logits(words[stop[i] - counts[i] : stop[i]], counts[i : i + 1]) for i in rest])
     lang = languages(words[:, 0], counts)[rest]
-    model.shift[:] = threshold(z, toxic[rest])
-    for k in range(len(LANGS)):
+    common = threshold(z, toxic[rest])
+    model.shift[:] = common
+    for k in range(len(LANGS)):  # a language's own threshold counts by the rows of its rarer class
         own = lang == k
-        if min(toxic[rest][own].sum(), (1 - toxic[rest][own]).sum()) >= 10:
-            model.shift[k] = threshold(z[own], toxic[rest][own])
+        rows = min(toxic[rest][own].sum(), (1 - toxic[rest][own]).sum())
+        if rows:
+            model.shift[k] = (rows * threshold(z[own], toxic[rest][own]) + SHRINK * common) / (rows + SHRINK)
     return model
 
 
@@ -256,34 +273,63 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """The model of at most ``sample`` labelled rows and ``sample_bytes`` bytes of text, trained in one task.
+
+    The rows are those with the smallest hashes; only the model, of fixed size, comes to the driver.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    got = rows.join(F.broadcast(known), "_id").select("_id", "_text", "_y").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return fit(got["_text"].to_pylist(), got["_y"].to_numpy())
+    # rows that repeat an identifier may be very many: the bound holds after the join as well
+    got = rows.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_text").limit(sample).select("_text", "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, size = [], [], 0
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(text.encode(errors="replace"))
+                if size + n <= sample_bytes:
+                    texts.append(text)
+                    toxic.append(y)
+                    size += n
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, np.array(toxic)).dump()], pa.binary())], names=["model"])
+
+    found = got.mapInArrow(run, "model binary").collect()
+    return Model.load(found[0][0]) if found else Model()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id_col, held_out, score, predicted, then the columns named in carry."""
+def scored(source: DataFrame, text: list[str], shared, cut: float) -> DataFrame:
+    """source with columns score and predicted after its own; text leads to the column or struct field that is scored."""
     from .bpe import slices
 
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col, label_col))
-    source = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(id_col), held_out(id_col).alias("held_out"), *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)])
-    kinds = dict(source.dtypes)
-    tail = [f"_carry_{i}" for i in range(len(carry))]
-    schema = f"`{id_col}` {kinds[id_col]}, held_out boolean, score double, predicted int" + "".join(f", {c} {kinds[c]}" for c in tail)
+    names = source.columns
+    schema = StructType([*source.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for start, texts in slices(batch.column(0), 1_000_000):  # prefix sums take some 60 bytes a byte of text
+            column = batch.column(names.index(text[0]))
+            for field_name in text[1:]:
+                column = column.field(field_name)
+            for start, texts in slices(column, 1_000_000):  # prefix sums take some 60 bytes a byte of text
                 score = model.scores(texts, cut)
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array(score), pa.array((score >= cut).astype(np.int32)), *[part.column(3 + i) for i in range(len(tail))]],
-                    names=[id_col, "held_out", "score", "predicted", *tail],
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    return source.mapInArrow(run, schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row per document: id_col, held_out, score, predicted."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col=id_col, text_col=text_col, label_col=label_col))
+    source = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(id_col).alias("_id"), held_out(id_col).alias("_held"))
+    return scored(source, ["_text"], shared, cut).select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "score", "predicted")
+
 
-    out = source.mapInArrow(run, schema)
-    return out.withColumnsRenamed(dict(zip(tail, carry, strict=True))) if carry else out
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs whose score is below the cut, all columns as they were, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col=id_col, text_col=text_col, label_col=label_col))
+    plain = dict(docs.dtypes)[text_col] == "string"
+    source = docs.select(F.struct("*").alias("_row"), *([] if plain else [F.col(text_col).cast("string").alias("_text")]))
+    return scored(source, ["_row", text_col] if plain else ["_text"], shared, cut).where("predicted = 0").select("_row.*")

@@ -7,12 +7,13 @@ in two levels, inside blocks of 1,024 lengths and over the blocks' totals, so no
 all lengths.
 
 Results in special cases: null and empty texts have length 0 and are counted.  Repeated rows
-count each time.  An empty table gives an empty histogram.  Only the text column is read.
+count each time.  Very long texts are counted whole.  An empty table gives an empty histogram.  Only the text column is read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ from .common import cut
 
 #: The pattern that cuts text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space, as the pattern knows it, that are cut out before matching.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 BLOCK = 1024
 
 
@@ -36,13 +39,27 @@ def rank_encoding(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_count(encoding, text: str) -> int:
+    """len(encode_ordinary(text)); the pattern's engine can't match runs of millions of spaces.
+
+    A long run is one piece, but for its last character where text follows.  What comes before
+    it ends, and what is left begins, at a border between pieces.
+    """
+    n = at = 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_lengths(docs: DataFrame, path: str, pattern: str = PATTERN, text_col: str = "text") -> DataFrame:
     """One row per document: n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoding(path, pattern).encode_ordinary
+        encoding = rank_encoding(path, pattern)
         for batch in batches:
-            sizes = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(0)]
+            sizes = [token_count(encoding, t.as_py()) if t.is_valid else 0 for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n_tokens"])
 
     return docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "n_tokens long")

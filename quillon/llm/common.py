@@ -17,15 +17,24 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder; the plan before is forgotten.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, that all machines see.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made.
+    It is ``spark.checkpoint.dir``; only a session on one machine that has none (tests) gets a
+    temporary one, any other raises.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        context.setCheckpointDir(found or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared checkpoint folder; the plan before is forgotten."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

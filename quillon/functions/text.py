@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL = r"(?i)^https?://[^\s/$.?#].[^\s]*$"
 #: Street abbreviations, applied in this order to lower-case text.
-ABBREVIATIONS = {"st": "street", "ave": "avenue", "rd": "road", "blvd": "boulevard", "dr": "drive", "ln": "lane", "apt": "apartment", "ste": "suite", "n": "north", "s": "south", "e": "east", "w": "west"}
-#: UTF-8 read as Latin-1, and what it was.
-MOJIBAKE = {"â€™": "'", "â€œ": '"', "â€\x9d": '"', "â€“": "-", "â€”": "-", "Ã©": "é", "Ã¨": "è", "Ã¶": "ö", "Ã¼": "ü", "\x00": "", "﻿": ""}
+ABBREVIATIONS = {
+    "st": "street", "ave": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "rd": "road",
+    "ct": "court", "pl": "place", "apt": "apartment", "ste": "suite", "fl": "floor", "hwy": "highway",
+}
+#: UTF-8 read as Latin-1, and what it was, replaced in this order.
+MOJIBAKE = {"â€™": "'", "â€œ": '"', "â€": '"', 'â€"': "-", "â€¢": "•", "Ã©": "é", "Ã¨": "è", "\x00": "", "\ufeff": ""}
 #: Words that mean yes and no.
 TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1", "on"), ("false", "f", "no", "n", "0", "off")
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ", "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 
 def squeeze(c: Column) -> Column:
@@ -24,28 +26,63 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _capital(letter: Column) -> Column:
+    return F.when(letter == "ß", "Ss").otherwise(F.upper(letter))
+
+
 def title(c: Column) -> Column:
     """Capitals after every non-letter, as in O'Neil and Mary-Ann."""
-    letters = F.split(F.lower(c), "")
-    marked = F.transform(letters, lambda x, i: F.when((i == 0) | ~F.get(letters, i - 1).rlike(r"\p{L}"), F.upper(x)).otherwise(x))
-    return F.array_join(marked, "")
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), 0)
+    return F.array_join(F.transform(runs, lambda x: F.concat(_capital(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))), "")
+
+
+def normal_form(c: Column, form: str = "NFKD") -> Column:
+    """The text in a Unicode normal form."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.str.normalize(form)
+
+    return run(c)
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Without combining marks, after compatibility decomposition."""
+    return F.regexp_replace(normal_form(c), r"\p{M}", "")
+
+
+def to_ascii(c: Column) -> Column:
+    """Compatibility decomposition, then without all that isn't ASCII."""
+    return F.regexp_replace(normal_form(c), r"[^\x00-\x7F]", "")
+
+
+def unescape(c: Column) -> Column:
+    """All character references of HTML decoded."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from html import unescape as decode
+
+        for part in parts:
+            yield part.map(decode, na_action="ignore")
+
+    return run(c)
 
 
 def strip_html(c: Column) -> Column:
-    """Without tags; the five basic character references are decoded first."""
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ref), F.lit(char))
-    return F.regexp_replace(c, "<[^>]+>", "")
+    """Without tags; character references are decoded first."""
+    return F.regexp_replace(unescape(c), "<[^>]+>", "")
 
 
 def strip_urls(c: Column) -> Column:
     return F.regexp_replace(c, r"https?://\S+|www\.\S+", "")
 
 
+def strip_emails(c: Column) -> Column:
+    return F.regexp_replace(c, r"\S+@\S+\.\S+", "")
+
+
 def strip_special(c: Column, keep: str = "") -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9\\s" + "".join("\\" + k for k in keep) + "]", "")
 
@@ -59,7 +96,7 @@ def fix_encoding(c: Column) -> Column:
 def expand_abbreviations(c: Column) -> Column:
     c = F.lower(c)
     for short, full in ABBREVIATIONS.items():
-        c = F.regexp_replace(c, rf"\b{short}\b\.?", full)
+        c = F.regexp_replace(c, rf"\b{short}\.?\b", full)
     return c
 
 

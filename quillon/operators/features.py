@@ -97,15 +97,23 @@ def rfm(orders: DataFrame, customer: str, when: str, amount: str) -> DataFrame:
     return with_totals(per, _last=F.max("_m")).select(customer, F.datediff("_last", "_m").alias("recency"), "frequency", "monetary")
 
 
-#: Customer labels by the sums of three scores from 1 to 5, tried in this order.
-RFM_LABELS = ((13, "Champions"), (10, "Loyal"), (7, "Potential"), (5, "At Risk"), (0, "Lost"))
+#: Customer labels by the scores of recency, frequency and amount; the first list that holds a score counts.
+RFM_LABELS = {
+    "Champions": ("555", "554", "544", "545", "454", "455", "445"),
+    "Loyal Customers": ("543", "444", "435", "355", "354", "345", "344"),
+    "Potential Loyalists": ("553", "551", "552", "541", "542", "533", "532", "531", "452", "451"),
+    "New Customers": ("512", "511", "422", "421", "412", "411", "311"),
+    "At Risk": ("155", "154", "144", "214", "215", "115", "114"),
+    "Can't Lose Them": ("155", "254", "245"),
+}
 
 
 def rfm_label(score: Column) -> Column:
+    """The label of a score of three digits, each from 1 to 5."""
     out = F.when(F.lit(False), "")
-    for least, name in RFM_LABELS:
-        out = out.when(score >= least, name)
-    return out
+    for name, scores in RFM_LABELS.items():
+        out = out.when(score.isin(*scores), name)
+    return out.otherwise("Others")
 
 
 def fold(key: str, k: int) -> Column:

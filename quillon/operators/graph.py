@@ -8,6 +8,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def depths(df: DataFrame, node: str, parent: str, most: int | None = None) -> DataFrame:
     """(node, depth) from the roots, 0 for rows without a parent; nodes of cycles are not reached.
@@ -15,19 +17,17 @@ def depths(df: DataFrame, node: str, parent: str, most: int | None = None) -> Da
     Runs until a level is empty; raises where that takes more than ``most`` steps, by default the
     number of nodes, which only a cycle below a root exceeds.
     """
-    edges = df.select(F.col(node).alias("n"), F.col(parent).alias("p"))
+    edges = cut(df.select(F.col(node).alias("n"), F.col(parent).alias("p")))
     if most is None:
         most = edges.select("n").distinct().count()
-    level = edges.where("p is null").select("n", F.lit(0).alias("depth")).distinct()
-    out = level
+    out = level = cut(edges.where("p is null").select("n", F.lit(0).alias("depth")).distinct())
     for k in count(1):
-        level = edges.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(k).alias("depth")).distinct().persist()
+        level = cut(edges.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(k).alias("depth")).distinct())
         if level.isEmpty():
-            break
+            return out
         if k > most:
             raise RuntimeError(f"nodes deeper than {most} steps")
         out = out.unionAll(level)
-    return out
 
 
 def reachable(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
@@ -35,23 +35,34 @@ def reachable(edges: DataFrame, source: str, target: str, most: int | None = Non
 
     Runs until no pair is new; raises where that takes more than ``most`` steps.
     """
-    step = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct().persist()
-    known = step.select("a", "b", F.lit(1).alias("hops"))
-    front = known
+    step = cut(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct())
+    known = front = step.select("a", "b", F.lit(1).alias("hops"))
     for k in count(2):
-        front = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct().join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(k).alias("hops")).persist()
+        further = front.select("a", F.col("b").alias("m")).join(step.withColumnRenamed("a", "m"), "m").select("a", "b").distinct()
+        front = cut(further.join(known, ["a", "b"], "left_anti").select("a", "b", F.lit(k).alias("hops")))
         if front.isEmpty():
-            break
+            return known.withColumnsRenamed({"a": source, "b": target})
         if most is not None and k > most:
             raise RuntimeError(f"paths of more than {most} steps")
         known = known.unionAll(front)
-    return known.withColumnsRenamed({"a": source, "b": target})
 
 
 def cycles(df: DataFrame, node: str, parent: str) -> DataFrame:
-    """Nodes that reach themselves."""
-    found = reachable(df.where(F.col(parent).isNotNull()), node, parent)
-    return found.where(F.col(node) == F.col(parent)).select(node)
+    """Nodes that are their own ancestors; a node has one parent, repeated rows count once.
+
+    The parent of the parent and so on is found by doubling: after as many steps as there are
+    nodes, only starts that lead to a cycle have an ancestor left, and each cycle's nodes are
+    among these ancestors.  That takes log2(nodes) joins, however long a cycle is.
+    """
+    edges = df.select(F.col(node).alias("n"), F.col(parent).alias("p")).where("n is not null and p is not null").distinct()
+    jump = cut(edges)
+    if not jump.groupBy("n").count().where("count > 1").isEmpty():
+        raise ValueError("cycles: a node has several parents")
+    reach = 1
+    while reach < jump.count():
+        jump = cut(jump.join(jump.select(F.col("n").alias("p"), F.col("p").alias("far")), "p").select("n", F.col("far").alias("p")))
+        reach *= 2
+    return jump.select(F.col("p").alias(node)).distinct()
 
 
 def orphans(df: DataFrame, node: str, parent: str) -> DataFrame:

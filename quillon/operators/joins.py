@@ -85,9 +85,11 @@ def overlap(frames: list[DataFrame], column: str) -> DataFrame:
 
 def drop_duplicates(df: DataFrame, keys: list[str], order: list[Column], keep: str = "first") -> DataFrame:
     """First or last row of each key in the given order."""
-    w = Window.partitionBy(*keys)
-    by = order if keep == "first" else [c.desc() if "DESC" not in str(c) else c for c in order]
-    return df.withColumn("_n", F.row_number().over(w.orderBy(*by))).where("_n = 1").drop("_n")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if keep == "first":
+        return df.withColumn("_n", first).where("_n = 1").drop("_n")
+    size = F.count("*").over(Window.partitionBy(*keys))
+    return df.withColumn("_n", first).withColumn("_of", size).where("_n = _of").drop("_n", "_of")
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,6 +106,7 @@ def most_complete(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 def merge_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key, of the first value that is not null in every other column."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *[F.first(c, ignorenulls=True).over(w).alias(c) for c in rest]).distinct()
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c)
+    return ranked.groupBy(*keys).agg(*[first(c) for c in rest]).select(*df.columns)

@@ -18,7 +18,12 @@ def rows_of(exprs: list[Column]) -> Column:
 def describe(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """One row a column: count, mean, std, min, exact quartiles, max."""
     r = lambda c: F.round(c, digits)
-    stat = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"), r(F.min(c).cast("double")).alias("min"), *[r(F.percentile(c, q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))], r(F.max(c).cast("double")).alias("max"))
+    quartiles = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in columns}
+    cut = lambda c: [r(F.lit(v).cast("double")).alias(n) for n, v in zip(("q25", "median", "q75"), quartiles[c], strict=True)]
+    stat = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"),
+        r(F.min(c).cast("double")).alias("min"), *cut(c), r(F.max(c).cast("double")).alias("max"),
+    )
     return df.agg(F.array(*[stat(c) for c in columns]).alias("_a")).select(F.inline("_a"))
 
 
@@ -57,12 +62,15 @@ def mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias("mode"), F.max("n").alias("n"))
 
 
-def quantile_exclusive(values: Column, p: float) -> Column:
-    """Quantile at (n + 1) p of a sorted array, with linear steps, held inside the ends."""
-    n = F.size(values)
-    at = F.greatest(F.least((n + 1) * F.lit(float(p)), n.cast("double")), F.lit(1.0))
-    low = F.floor(at).cast("int")
-    return F.element_at(values, low) + (at - low) * (F.element_at(values, F.least(low + 1, n)) - F.element_at(values, low))
+def order_statistics(df: DataFrame, column: str, ranks) -> list[float | None]:
+    """The values at the given places, from 1, of the sorted column; ranks(n) lists the places for n values."""
+    n = df.where(F.col(column).isNotNull()).count()
+    return exact_quantiles(df, column, [(min(max(k, 1), n) - 1) / max(n - 1, 1) for k in ranks(n)]) if n else [None for _ in ranks(1)]
+
+
+def quantiles_exclusive(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Quantiles at (n + 1) q, with linear steps between neighbours, held inside the ends."""
+    return order_statistics(df, column, lambda n: [(n + 1) * q for q in qs])
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], digits: int = 6, least: float = 0.0) -> DataFrame:
@@ -79,6 +87,13 @@ def average_rank(column: str, keys: list[str] | None = None) -> Column:
     return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*(keys or []), column)) - 1) / 2
 
 
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the rank of a numeric column, ties sharing their mean, by counts of its values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranks = running_sums(counts, "_v", ["_c"]).select("_v", (F.col("run__c") - (F.col("_c") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cells with observed and expected counts under independence."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("observed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +68,14 @@ def rolling_corr(a: str, b: str, size: int, order: str) -> Column:
 
 
 def ewma(df: DataFrame, key: str, column: str, order: str, alpha: float) -> DataFrame:
-    """(key, order, ewma) with the first value as start, one array a key.
+    """(key, order, ewma) with the first value as start; a key's series is one task's."""
+    source = df.select(key, order, F.col(column).cast("double").alias("ewma"))
 
-    The recursion needs a key's values in order; a key's series must fit a row.
-    """
-    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(column).cast("double").alias("x")))).alias("s"))
-    step = lambda acc, p: F.concat(acc, F.array(F.struct(p["t"].alias("t"), F.when(F.size(acc) == 0, p["x"]).otherwise(alpha * p["x"] + (1 - alpha) * F.element_at(acc, -1)["x"]).alias("x"))))
-    empty = F.filter("s", lambda p: F.lit(False))
-    return listed.select(key, F.explode(F.aggregate("s", empty, step)).alias("p")).select(key, F.col("p.t").alias(order), F.col("p.x").alias("ewma"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        return part.assign(ewma=part["ewma"].ewm(alpha=alpha, adjust=False).mean())
+
+    return source.groupBy(key).applyInPandas(run, source.schema)
 
 
 def infer_frequency(df: DataFrame, ts: str) -> DataFrame:
@@ -127,3 +128,20 @@ def cross_correlation(df: DataFrame, a: str, b: str, order: str, lags: int) -> D
     base = df.select(order, z(a).alias("x"), z(b).alias("y"))
     shifted = base.select("x", *[(F.lag("y", k) if k >= 0 else F.lead("y", -k)).over(w).alias(f"y{k + lags}") for k in range(-lags, lags + 1)])
     return shifted.agg(F.array(*[F.struct(F.lit(k).alias("lag"), (F.sum(F.col("x") * F.col(f"y{k + lags}")) / F.count("*")).alias("r")) for k in range(-lags, lags + 1)]).alias("_a")).select(F.inline("_a"))
+
+
+def neighbours(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """df with prev_<c>, the value in the row before by ``order`` (unique), without a window over all rows.
+
+    Rows are dealt to ranges of the order; a range's first row takes its values from the last
+    row of the range before, one row a range.
+    """
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n"))
+    parts = F.broadcast(ends.select("a", ((F.col("b") - F.col("a") + 1) / F.greatest(F.lit(1.0), F.ceil(F.col("n") / 100_000))).alias("w")))
+    dealt = df.crossJoin(parts).withColumn("_r", F.floor((F.col(order) - F.col("a")) / F.col("w"))).drop("a", "w")
+    inside = Window.partitionBy("_r").orderBy(order)
+    last = dealt.groupBy("_r").agg(F.max_by(F.struct(*columns), order).alias("_last"))
+    before = last.select("_r", F.lag("_last").over(Window.orderBy("_r")).alias("_before"))
+    own = dealt.withColumn("_own", F.lag(F.struct(*columns)).over(inside)).withColumn("_n", F.row_number().over(inside))
+    both = own.join(F.broadcast(before), "_r").withColumn("_p", F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_own")))
+    return both.select(*df.columns, *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in columns])

@@ -80,7 +80,9 @@ class ReportCache:
 
     def get(self, query: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = hashlib.md5(query.encode()).hexdigest()
-        if key not in self.held or self.held[key][0] <= self.clock():
+        for k in [k for k, (until, _) in self.held.items() if until <= self.clock()]:
+            self.held.pop(k)[1].unpersist()
+        if key not in self.held:
             self.held[key] = self.clock() + self.ttl, make().persist()
         return self.held[key][1]
 

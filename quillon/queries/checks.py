@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..operators import features as ft
 from ..operators import graph, joins, models, stats
 from ..operators import quality as dq
 from ..operators import timeseries as ts
+from ..operators.lineage import new_folder
 from ..plans import flow
 from ..sources import files, sinks
 from ..streaming import events as ev
@@ -29,12 +28,12 @@ def ev_clean(t):
     return t.events.withColumn("ts", c("ts").cast("timestamp"))
 
 
-#: A daily series of orders, with days missing.
-DAILY = "(SELECT date_trunc('day', o_orderdate) AS d, round(sum(o_totalprice), 2) AS v, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1)"
+#: A daily series of orders.
+DAILY = "(SELECT date_trunc('day', o_orderdate) AS d, round(sum(o_totalprice), 2) AS v, count(*) AS n FROM orders GROUP BY 1)"
 
 
 def daily(t):
-    return t.orders.where("o_orderkey % 7 = 0").groupBy(F.date_trunc("day", "o_orderdate").alias("d")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count("*").alias("n"))
+    return t.orders.groupBy(F.date_trunc("day", "o_orderdate").alias("d")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count("*").alias("n"))
 
 
 SPINE = "(SELECT unnest(generate_series(min(d)::TIMESTAMP, max(d)::TIMESTAMP, INTERVAL 1 DAY)) AS bin FROM s)"
@@ -56,10 +55,10 @@ add("ts_rolling_full", lambda t: daily(t).select(F.to_date("d").alias("day"), F.
 add("ts_rolling_corr", lambda t: daily(t).select(F.to_date("d").alias("day"), r(ts.rolling_corr("v", "n", 30, "d"), 4).alias("k")).where("k is not null"), f"SELECT day, round(k, 4) AS k FROM (SELECT d::DATE AS day, CASE WHEN count(v) OVER w = 30 THEN corr(v, n::DOUBLE) OVER w END AS k FROM {DAILY} WINDOW w AS (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) WHERE k IS NOT NULL AND NOT isnan(k)")
 add("ts_rolling_time", lambda t: ev_clean(t).withColumn("u", F.unix_micros("ts")).select("event_id", r(F.avg("value").over(W.partitionBy("event_type").orderBy("u").rangeBetween(-3599999999, 0)), 6).alias("m")), "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 6) AS m FROM events")
 add("ts_velocity", lambda t: daily(t).select(F.to_date("d").alias("day"), (c("v") - F.lag("v").over(W.orderBy("d"))).alias("dv"), F.datediff("d", F.lag("d").over(W.orderBy("d"))).alias("dt")).where(F.abs("dv") > 100000 * c("dt")).select("day"), f"SELECT day FROM (SELECT d::DATE AS day, v - lag(v) OVER (ORDER BY d) AS dv, date_diff('day', (lag(d) OVER (ORDER BY d))::DATE, d::DATE) AS dt FROM {DAILY}) WHERE abs(dv) > 100000 * dt")
-add("ts_sequence", lambda t: ev_clean(t).withColumn("prev", F.lag("ts").over(W.orderBy("event_id"))).agg(F.count_if(c("ts") < c("prev")).alias("backward"), F.count_if(c("ts") == c("prev")).alias("same")), "SELECT count(*) FILTER (WHERE ts < prev) AS backward, count(*) FILTER (WHERE ts = prev) AS same FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS prev FROM events)")
+add("ts_sequence", lambda t: ts.neighbours(ev_clean(t).select("event_id", "ts"), "event_id", ["ts"]).agg(F.count_if(c("ts") < c("prev_ts")).alias("backward"), F.count_if(c("ts") == c("prev_ts")).alias("same")), "SELECT count(*) FILTER (WHERE ts < prev) AS backward, count(*) FILTER (WHERE ts = prev) AS same FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS prev FROM events)")
 add("ts_weekend_share", lambda t: ev_clean(t).agg(F.count_if(F.weekday("ts") >= 5).alias("w"), F.count("*").alias("n")).select(F.when(c("w") == 0, "weekday_only").when(c("w") == c("n"), "weekend_only").otherwise("all_days").alias("pattern")), "SELECT CASE WHEN w = 0 THEN 'weekday_only' WHEN w = n THEN 'weekend_only' ELSE 'all_days' END AS pattern FROM (SELECT count(*) FILTER (WHERE isodow(ts) >= 6) AS w, count(*) AS n FROM events)")
 add("ts_anomalies", lambda t: ts.anomalies(daily(t), "v", "d", 24, 2.5).select(F.to_date("d").alias("day"), "z_flag", "iqr_flag", "rolling_flag", "anomaly"), f"WITH s AS {DAILY}, b AS (SELECT avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, .25) AS q1, quantile_cont(v, .75) AS q3 FROM s), x AS (SELECT d::DATE AS day, abs(v - m) > 2.5 * sd AS z_flag, (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS iqr_flag, coalesce(stddev_samp(v) OVER w > 0 AND abs(v - avg(v) OVER w) > 2.5 * stddev_samp(v) OVER w, false) AS rolling_flag FROM s, b WINDOW w AS (ORDER BY d ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)) SELECT *, (z_flag OR iqr_flag OR rolling_flag) AS anomaly FROM x")
-add("ts_ewma", lambda t: ts.ewma(t.orders.where("o_custkey <= 50").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey", 0.3).select("o_custkey", "o_orderkey", r("ewma", 2).alias("ewma")), "WITH RECURSIVE s AS (SELECT o_custkey, o_orderkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_custkey <= 50), e AS (SELECT o_custkey, o_orderkey, x AS y, i FROM s WHERE i = 1 UNION ALL SELECT s.o_custkey, s.o_orderkey, 0.3 * s.x + 0.7 * e.y, s.i FROM e JOIN s ON s.o_custkey = e.o_custkey AND s.i = e.i + 1) SELECT o_custkey, o_orderkey, round(y, 2) AS ewma FROM e")
+add("ts_ewma", lambda t: ts.ewma(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey", 0.3).select("o_custkey", "o_orderkey", r("ewma", 6).alias("ewma")), "WITH RECURSIVE s AS (SELECT o_custkey, o_orderkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), e AS (SELECT o_custkey, o_orderkey, x AS y, i FROM s WHERE i = 1 UNION ALL SELECT s.o_custkey, s.o_orderkey, 0.3 * s.x + 0.7 * e.y, s.i FROM e JOIN s ON s.o_custkey = e.o_custkey AND s.i = e.i + 1) SELECT o_custkey, o_orderkey, round(y, 6) AS ewma FROM e")
 add("ts_autocorrelation", lambda t: ts.autocorrelation(daily(t), "v", "d", 5).select("lag", r("r", 5).alias("r")), " UNION ALL ".join(f"SELECT {k} AS lag, round(corr(v, l), 5) AS r FROM (SELECT v, lag(v, {k}) OVER (ORDER BY d) AS l FROM {DAILY})" for k in range(1, 6)))
 add("ts_cross_correlation", lambda t: ts.cross_correlation(daily(t).withColumn("n", c("n").cast("double")), "v", "n", "d", 2).select("lag", r("r", 5).alias("r")), "WITH z AS (SELECT d, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS x, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS y FROM " + DAILY + ") " + " UNION ALL ".join(f"SELECT {k} AS lag, round(sum(x * l) / count(*), 5) AS r FROM (SELECT x, {'lag' if k >= 0 else 'lead'}(y, {abs(k)}) OVER (ORDER BY d) AS l FROM z)" for k in range(-2, 3)))
 add("ts_decompose", lambda t: ts.decompose(daily(t), "v", "d", 7).select(F.to_date("d").alias("day"), r("trend", 2).alias("trend"), r("seasonal", 2).alias("seasonal"), r("resid", 2).alias("resid")), f"WITH s AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i FROM {DAILY}), q AS (SELECT *, CASE WHEN count(v) OVER w = 7 THEN avg(v) OVER w END AS trend FROM s WINDOW w AS (ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), m AS (SELECT i % 7 AS p, avg(v - trend) AS x FROM q GROUP BY 1), n AS (SELECT p, x - avg(x) OVER () AS seasonal FROM m) SELECT d::DATE AS day, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round(v - trend - seasonal, 2) AS resid FROM q JOIN n ON i % 7 = p")
@@ -85,7 +84,7 @@ add("dq_ks", lambda t: stats.ks_statistic(t.orders.where(HALVES[0]), t.orders.wh
 EDGES = [50000.0, 100000.0, 150000.0, 200000.0, 300000.0]
 BIN = " + ".join(f"(o_totalprice >= {e})::INT" for e in EDGES)
 add("dq_psi", lambda t: stats.psi(t.orders.where(HALVES[0]), t.orders.where(HALVES[1]), "o_totalprice", EDGES).select(r("psi", 6).alias("psi")), f"WITH b AS (SELECT {BIN} AS k, ({HALVES[0]}) AS a FROM orders), s AS (SELECT k, greatest(count(*) FILTER (WHERE a) / sum(count(*) FILTER (WHERE a)) OVER (), 1e-4) AS p, greatest(count(*) FILTER (WHERE NOT a) / sum(count(*) FILTER (WHERE NOT a)) OVER (), 1e-4) AS q FROM b GROUP BY 1) SELECT round(sum((q - p) * ln(q / p)), 6) AS psi FROM s")
-add("dq_new_values", lambda t: t.part.where("p_partkey % 2 = 0").select("p_size").subtract(t.part.where("p_partkey % 2 = 1 and p_size < 30").select("p_size")), "SELECT p_size FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT p_size FROM part WHERE p_partkey % 2 = 1 AND p_size < 30")
+add("dq_new_values", lambda t: t.part.where("p_retailprice >= 1000").select("p_size").subtract(t.part.where("p_retailprice < 920").select("p_size")), "SELECT p_size FROM part WHERE p_retailprice >= 1000 EXCEPT SELECT p_size FROM part WHERE p_retailprice < 920")
 OUT = {"iqr": "SELECT quantile_cont(l_extendedprice, .25) - 0.25 * (quantile_cont(l_extendedprice, .75) - quantile_cont(l_extendedprice, .25)) AS lo, quantile_cont(l_extendedprice, .75) + 0.25 * (quantile_cont(l_extendedprice, .75) - quantile_cont(l_extendedprice, .25)) AS hi FROM lineitem", "z": "SELECT avg(l_extendedprice) - 1.5 * stddev_samp(l_extendedprice) AS lo, avg(l_extendedprice) + 1.5 * stddev_samp(l_extendedprice) AS hi FROM lineitem", "mad": "SELECT median(l_extendedprice) - 1.0 * mad(l_extendedprice) / 0.6745 AS lo, median(l_extendedprice) + 1.0 * mad(l_extendedprice) / 0.6745 AS hi FROM lineitem", "percentile": "SELECT quantile_cont(l_extendedprice, .01) AS lo, quantile_cont(l_extendedprice, .99) AS hi FROM lineitem"}
 for _how, _k in (("iqr", 0.25), ("z", 1.5), ("mad", 1.0), ("percentile", None)):
     add(f"dq_outliers_{_how}", lambda t, h=_how, k=_k: stats.fences(t.lineitem, "l_extendedprice", h, k).where("l_extendedprice < low or l_extendedprice > high").select("l_orderkey", "l_linenumber"), f"SELECT l_orderkey, l_linenumber FROM lineitem, ({OUT[_how]}) WHERE l_extendedprice < lo OR l_extendedprice > hi")
@@ -106,7 +105,6 @@ add("ft_target_encode", lambda t: ft.target_encode(t.customer, "c_mktsegment", "
 add("ft_frequency_encode", lambda t: ft.frequency_encode(t.part, "p_brand").select("p_brand", r("frequency", 6).alias("frequency")), "SELECT p_brand, round(count(*) / sum(count(*)) OVER (), 6) AS frequency FROM part GROUP BY 1")
 add("ft_group_rare", lambda t: ft.group_rare(t.part.select("p_partkey", "p_brand"), "p_brand", 0.04), "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) / count(*) OVER () < 0.04 THEN '__RARE__' ELSE p_brand END AS p_brand FROM part")
 add("ft_binary_encode", lambda t: ft.label_encode(t.part, "p_brand", "k").select("p_partkey", *[F.getbit(c("k").cast("long"), F.lit(i)).cast("int").alias(f"b{i}") for i in range(3)]), "SELECT p_partkey, " + ", ".join(f"((k >> {i}) & 1)::INT AS b{i}" for i in range(3)) + " FROM (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS k FROM part)")
-add("ft_rfm_labels", lambda t: ft.quantile_bins(ft.quantile_bins(ft.rfm(t.orders, "o_custkey", "o_orderdate", "o_totalprice"), "frequency", 5, "f"), "monetary", 5, "m").select("o_custkey", ft.rfm_label(c("f") + c("m") + 3).alias("label")), "WITH g AS (SELECT o_custkey, count(*) AS f, round(sum(o_totalprice), 2) AS m FROM orders GROUP BY 1), e AS (SELECT " + ", ".join(f"quantile_cont({v}, {q}) AS {v}{i}" for v in "fm" for i, q in enumerate((0.2, 0.4, 0.6, 0.8))) + " FROM g), s AS (SELECT o_custkey, 5 + " + " + ".join(f"({v} > {v}{i})::INT" for v in "fm" for i in range(4)) + " AS k FROM g, e) SELECT o_custkey, CASE WHEN k >= 13 THEN 'Champions' WHEN k >= 10 THEN 'Loyal' WHEN k >= 7 THEN 'Potential' WHEN k >= 5 THEN 'At Risk' ELSE 'Lost' END AS label FROM s")
 add("ft_class_metrics", lambda t: ft.class_metrics(t.labels, "quality", "toxic"), "WITH p AS (SELECT quality AS a, toxic AS p FROM labels), k AS (SELECT unnest([0, 1]) AS class), s AS (SELECT class, count(*) FILTER (WHERE a = class) AS support, count(*) FILTER (WHERE p = class) AS guessed, count(*) FILTER (WHERE a = class AND p = class) AS hits FROM p, k GROUP BY 1) SELECT class, support, round(coalesce(hits / nullif(guessed, 0), 0), 6) AS precision, round(coalesce(hits / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * (hits / nullif(guessed, 0)) * (hits / nullif(support, 0)) / nullif(hits / nullif(guessed, 0) + hits / nullif(support, 0), 0), 0), 6) AS f1 FROM s")
 add("ft_regression_metrics", lambda t: ft.regression_metrics(t.part.withColumn("guess", c("p_size") * 20 + 900.0), "p_retailprice", "guess"), "SELECT round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM (SELECT p_retailprice AS y, p_retailprice - (p_size * 20 + 900.0) AS e FROM part)")
 add("ft_segment_metrics", lambda t: t.labels.join(t.documents, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), r(F.avg((c("quality") == 1).cast("int")), 6).alias("share")).where("n >= 10"), "SELECT lang, count(*) AS n, round(avg((quality = 1)::INT), 6) AS share FROM labels JOIN documents USING (doc_id) GROUP BY 1 HAVING count(*) >= 10")
@@ -126,12 +124,12 @@ def kmeans_sizes(t):
 
 
 # --- hierarchies: every order key's parent is half of it
-TREE = "(SELECT o_orderkey AS n, CASE WHEN o_orderkey > 1 THEN o_orderkey // 2 END AS p FROM orders WHERE o_orderkey <= 2000)"
-tree = lambda t: t.orders.where("o_orderkey <= 2000").select(c("o_orderkey").alias("n"), F.when(c("o_orderkey") > 1, F.floor(c("o_orderkey") / 2)).alias("p"))
+TREE = "(SELECT o_orderkey AS n, CASE WHEN o_orderkey > 1 THEN o_orderkey // 2 END AS p FROM orders)"
+tree = lambda t: t.orders.select(c("o_orderkey").alias("n"), F.when(c("o_orderkey") > 1, F.floor(c("o_orderkey") / 2)).alias("p"))
 add("graph_depths", lambda t: graph.depths(tree(t), "n", "p"), f"WITH RECURSIVE e AS {TREE}, d AS (SELECT n, 0 AS depth FROM e WHERE p IS NULL UNION SELECT e.n, d.depth + 1 FROM e JOIN d ON e.p = d.n) SELECT n, depth FROM d")
-add("graph_orphans", lambda t: graph.orphans(tree(t).where("n % 3 > 0"), "n", "p").select("n"), f"WITH e AS (SELECT * FROM {TREE} WHERE n % 3 > 0) SELECT n FROM e WHERE p IS NOT NULL AND p NOT IN (SELECT n FROM e)")
-add("graph_cycles", lambda t: graph.cycles(tree(t).where("n <= 60").withColumn("p", F.when(c("n") == 4, F.lit(9)).otherwise(c("p"))), "n", "p"), "SELECT n FROM (VALUES (4::BIGINT), (9)) v(n) WHERE (SELECT count(*) FROM orders WHERE o_orderkey IN (4, 9)) = 2")
-add("graph_reachable", lambda t: graph.reachable(tree(t).where("p is not null and n <= 200"), "n", "p"), f"WITH RECURSIVE e AS (SELECT n, p FROM {TREE} WHERE p IS NOT NULL AND n <= 200), r AS (SELECT n, p, 1 AS hops FROM e UNION SELECT r.n, e.p, r.hops + 1 FROM r JOIN e ON r.p = e.n) SELECT n, p, min(hops) AS hops FROM r GROUP BY 1, 2")
+add("graph_orphans", lambda t: graph.orphans(t.orders.where("o_orderstatus = 'O'").select(c("o_orderkey").alias("n"), F.floor(c("o_orderkey") / 2).alias("p")), "n", "p").select("n"), "WITH e AS (SELECT o_orderkey AS n, o_orderkey // 2 AS p FROM orders WHERE o_orderstatus = 'O') SELECT n FROM e WHERE p NOT IN (SELECT n FROM e)")
+add("graph_cycles", lambda t: graph.cycles(tree(t).withColumn("p", F.when(c("n") == 4, F.lit(9)).otherwise(c("p"))), "n", "p"), "SELECT n FROM (VALUES (4::BIGINT), (9)) v(n) WHERE (SELECT count(*) FROM orders WHERE o_orderkey IN (4, 9)) = 2")
+add("graph_reachable", lambda t: graph.reachable(tree(t).where("p is not null"), "n", "p"), f"WITH RECURSIVE e AS (SELECT n, p FROM {TREE} WHERE p IS NOT NULL), r AS (SELECT n, p, 1 AS hops FROM e UNION SELECT r.n, e.p, r.hops + 1 FROM r JOIN e ON r.p = e.n) SELECT n, p, min(hops) AS hops FROM r GROUP BY 1, 2")
 add("graph_many_parents", lambda t: graph.many_parents(t.lineitem.select("l_partkey", "l_suppkey").distinct(), "l_partkey", "l_suppkey").select("l_partkey", "n_parents"), "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_parents FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
 add("graph_lineage", lambda t: t.spark.createDataFrame([(*graph.sql_sources(s), i) for i, s in enumerate(("INSERT INTO mart.sales SELECT * FROM raw.orders o JOIN raw.items i ON o.id = i.id", "create view v as select 1 from mart.sales"))], "target string, sources array<string>, i int").select("i", "target", F.array_join("sources", ",").alias("sources")), "SELECT * FROM (VALUES (0, 'mart.sales', 'raw.items,raw.orders'), (1, 'v', 'mart.sales')) v(i, target, sources)")
 
@@ -139,11 +137,8 @@ add("graph_lineage", lambda t: t.spark.createDataFrame([(*graph.sql_sources(s),
 add("plan_chain", lambda t: flow.chain(t.orders, lambda d: d.where("o_totalprice > 1000"), lambda d: d.groupBy("o_orderstatus").agg(F.count("*").alias("n"))), "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 add("plan_introspect", lambda t: flow.introspect(t.part))
 add("plan_run_health", lambda t: t.orders.groupBy("o_orderpriority").agg(r(F.avg((c("o_orderstatus") == "F").cast("int")) * 100, 2).alias("success"), F.count_if(c("o_totalprice") > 250000).alias("slow")), "SELECT o_orderpriority, round(avg((o_orderstatus = 'F')::INT) * 100, 2) AS success, count(*) FILTER (WHERE o_totalprice > 250000) AS slow FROM orders GROUP BY 1")
-folder = lambda t: tempfile.mkdtemp(prefix="quillon-", dir=t.spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://") or None)
-
-
 def written(t, name, write, read):
-    path = f"{folder(t)}/{name}"
+    path = f"{new_folder(t.spark)}/{name}"
     write(path)
     return read(path)
 
@@ -155,7 +150,7 @@ add("snk_csv_safe", lambda t: sinks.csv_safe(t.documents.select("doc_id", "text"
 add("snk_json_roundtrip", lambda t: written(t, "j.jsonl", lambda p: sinks.write_json(t.nation, p), lambda p: files.load(t.spark, p, schema="n_nationkey int, n_name string, n_regionkey int")), "SELECT * FROM nation")
 add("snk_manifest", lambda t: sinks.manifest(t.customer, "c_mktsegment").select("value", "rows"), "SELECT c_mktsegment AS value, count(*) AS rows FROM customer GROUP BY 1")
 add("snk_snapshots", lambda t: written(t, "s", lambda p: [sinks.snapshot(t.region, p, v) for v in ("a", "b", "c")], lambda p: sinks.versions(t.spark, p, 2)), "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false)) v(v, stale)")
-add("src_folder_merge", lambda t: written(t, "m", lambda p: [sinks.write_csv(t.nation.where(f"n_regionkey = {k}"), f"{p}/r{k}") for k in (0, 1)], lambda p: files.read_folder(t.spark, p)).select(c("n_nationkey").cast("int").alias("n_nationkey"), (F.length("source_file") > 0).alias("named")), "SELECT n_nationkey, true AS named FROM nation WHERE n_regionkey IN (0, 1)")
+add("src_folder_merge", lambda t: written(t, "m", lambda p: [sinks.write_csv(t.nation.where(f"n_regionkey = {k}"), f"{p}/r{k}") for k in range(5)], lambda p: files.read_folder(t.spark, p)).select(c("n_nationkey").cast("int").alias("n_nationkey"), (F.length("source_file") > 0).alias("named")), "SELECT n_nationkey, true AS named FROM nation")
 add("stm_event_ids", lambda t: ev.event_id(t.events.withColumn("d", F.to_date("ts")), ["user_id", "event_id", "d"]).select("event_id", "event_key"), "SELECT event_id, md5(user_id || '_' || event_id || '_' || ts::DATE) AS event_key FROM events")
 add("stm_versions", lambda t: ev.normalise_versions(t.events.select("event_id", (F.pmod("event_id", F.lit(2)) + 1).cast("int").alias("version"))).select("event_id", "session_id", "country"), "SELECT event_id, NULL::VARCHAR AS session_id, 'UNKNOWN' AS country FROM events")
 add("stm_session_labels", lambda t: t.events.select("event_id", F.concat(F.lit("sess_"), F.floor(c("event_id") / 10)).alias("session")), "SELECT event_id, 'sess_' || (event_id // 10) AS session FROM events")
@@ -165,17 +160,12 @@ add("stm_sessions", lambda t: ev.sessions(ev_clean(t), "ts", "30 minutes", "user
 
 def stream_windows(t):
     """Hourly counts by a stream over the events, all of it drained."""
-    import uuid
-
-    schema = t.events.schema
-    name = f"windows_{uuid.uuid4().hex[:8]}"
-    path = f"{folder(t)}/in"
-    t.events.write.parquet(path)
-    live = ev.stream(t.spark, path, schema).withColumn("ts", c("ts").cast("timestamp"))
-    return ev.drain(ev.windowed(live, "ts", "1 hour", "1 day", ["event_type"], "value"), name, f"{folder(t)}/state", "complete")
-
+    home = new_folder(t.spark)
+    t.events.write.parquet(f"{home}/in")
+    live = ev.stream(t.spark, f"{home}/in", t.events.schema).withColumn("ts", c("ts").cast("timestamp"))
+    counts = ev.windowed(live, "ts", "1 hour", "1 day", ["event_type"], "value")
+    return ev.drain(counts, f"{home}/out", f"{home}/state", "complete")
 
-add("dup_fuzzy_groups", lambda t: joins.fuzzy_groups(t.customer.where("c_custkey <= 300").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey", c("c_nationkey"), lambda a, b: -F.abs(c(f"{a}c_acctbal") - c(f"{b}c_acctbal")), -200), "SELECT b.c_custkey, coalesce(min(a.c_custkey), b.c_custkey) AS leader FROM customer b LEFT JOIN customer a ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.c_custkey <= 300 AND abs(a.c_acctbal - b.c_acctbal) <= 200 WHERE b.c_custkey <= 300 GROUP BY b.c_custkey")
 
 # --- models and transforms
 add("ft_vif", lambda t: models.vif(t.part, ["p_size", "p_retailprice"]).select("column", r("vif", 6).alias("vif"), "level"), " UNION ALL ".join(f"SELECT '{k}' AS \"column\", round(1 / (1 - power(corr(p_size, p_retailprice), 2)), 6) AS vif, 'low' AS level FROM part" for k in ("p_size", "p_retailprice")))

@@ -75,7 +75,7 @@ add("join_key_overlap", lambda t: joins.overlap([t.customer.select(c("c_nationke
 add("join_self_reference", lambda t: t.orders.where(c("o_orderkey") == c("o_custkey")).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey = o_custkey")
 add("join_add_aligned", lambda t: joins.add_aligned(t.customer.groupBy(c("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("v")), t.supplier.groupBy(c("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("v")), "k", "v").select("k", r2("v").alias("v")), "SELECT coalesce(a.k, b.k) AS k, round(coalesce(a.v, 0) + coalesce(b.v, 0), 2) AS v FROM (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, sum(s_acctbal) AS v FROM supplier GROUP BY 1) b ON a.k = b.k")
 add("join_map_back", lambda t: t.part.select("p_partkey", r2(c("p_retailprice") - F.avg("p_retailprice").over(W.partitionBy("p_brand"))).alias("over_mean")), "SELECT p_partkey, round(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand), 2) AS over_mean FROM part")
-add("join_upsert", lambda t: joins.upsert(t.supplier.select("s_suppkey", "s_acctbal"), t.supplier.where("s_suppkey % 3 = 0").select((c("s_suppkey") + F.lit(1)).alias("s_suppkey"), F.lit(0.0).alias("s_acctbal")), ["s_suppkey"]), "WITH n AS (SELECT s_suppkey + 1 AS s_suppkey, 0.0::DOUBLE AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0) SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n")
+add("join_upsert", lambda t: joins.upsert(t.supplier.select("s_suppkey", "s_acctbal"), t.supplier.where("s_acctbal < 2000").select(F.when(c("s_acctbal") < 0, -1 - c("s_suppkey")).otherwise(c("s_suppkey")).alias("s_suppkey"), F.lit(0.0).alias("s_acctbal")), ["s_suppkey"]), "WITH n AS (SELECT CASE WHEN s_acctbal < 0 THEN -1 - s_suppkey ELSE s_suppkey END AS s_suppkey, 0.0::DOUBLE AS s_acctbal FROM supplier WHERE s_acctbal < 2000) SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n")
 add("join_delete_cascade", lambda t: joins.delete_cascade(c("c_acctbal") < 0, t.customer, "c_custkey", [(t.orders, "o_custkey")])[1].select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 add("join_best_match", lambda t: joins.best_match(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), "c_custkey", "s_suppkey", (c("c_nationkey"), c("s_nationkey")), -F.abs(c("c_acctbal") - c("s_acctbal")), -1000).select("c_custkey", "status"), "SELECT c_custkey, CASE WHEN min(abs(c_acctbal - s_acctbal)) <= 1000 THEN 'MATCHED' ELSE 'REVIEW NEEDED' END AS status FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
 
@@ -84,8 +84,8 @@ add("agg_counts", lambda t: t.orders.groupBy("o_orderpriority").agg(F.count("*")
 add("agg_named_rounded", lambda t: t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(r2(F.sum("l_quantity")).alias("sum_qty"), F.round(F.sum(revenue()), 4).alias("revenue"), r2(F.avg("l_extendedprice")).alias("avg_price"), F.min("l_discount").alias("min_disc"), F.max("l_discount").alias("max_disc"), F.count("*").alias("n")), f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({REV}), 4) AS revenue, round(avg(l_extendedprice), 2) AS avg_price, min(l_discount) AS min_disc, max(l_discount) AS max_disc, count(*) AS n FROM lineitem GROUP BY 1, 2")
 add("agg_over_aggregates", lambda t: t.lineitem.groupBy("l_linestatus").agg(r2(F.max("l_extendedprice") - F.min("l_extendedprice")).alias("span"), r2(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("unit")), "SELECT l_linestatus, round(max(l_extendedprice) - min(l_extendedprice), 2) AS span, round(sum(l_extendedprice) / sum(l_quantity), 2) AS unit FROM lineitem GROUP BY 1")
 add("agg_quantiles", lambda t: t.orders.groupBy("o_orderstatus").agg(r2(F.median("o_totalprice")).alias("median"), *[r2(F.percentile("o_totalprice", q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.75, 0.95)]), "SELECT o_orderstatus, round(median(o_totalprice), 2) AS median, round(quantile_cont(o_totalprice, 0.05), 2) AS p5, round(quantile_cont(o_totalprice, 0.25), 2) AS p25, round(quantile_cont(o_totalprice, 0.75), 2) AS p75, round(quantile_cont(o_totalprice, 0.95), 2) AS p95 FROM orders GROUP BY 1")
-add("agg_quantile_exclusive", lambda t: t.supplier.agg(F.array_sort(F.collect_list("s_acctbal")).alias("v")).select(*[r2(stats.quantile_exclusive(c("v"), q)).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75), 1)]), "WITH s AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) AS i, count(*) OVER () AS n FROM supplier), " + ", ".join(f"k{j} AS (SELECT max(CASE WHEN i = floor((n + 1) * {q}) THEN x END) AS lo, max(CASE WHEN i = floor((n + 1) * {q}) + 1 THEN x END) AS hi, max((n + 1) * {q} - floor((n + 1) * {q})) AS f FROM s)" for j, q in enumerate((0.25, 0.5, 0.75), 1)) + " SELECT " + ", ".join(f"round(k{j}.lo + k{j}.f * (k{j}.hi - k{j}.lo), 2) AS q{j}" for j in (1, 2, 3)) + " FROM k1, k2, k3")
-add("agg_quartiles_plain", lambda t: t.part.agg(F.array_sort(F.collect_list("p_retailprice")).alias("v")).select(F.element_at("v", F.floor((F.size("v") + 1) / 4).cast("int")).alias("q1"), F.element_at("v", F.floor(3 * (F.size("v") + 1) / 4).cast("int")).alias("q3")), "WITH s AS (SELECT list_sort(list(p_retailprice)) AS v FROM part) SELECT v[floor((len(v) + 1) / 4)::INT] AS q1, v[floor(3 * (len(v) + 1) / 4)::INT] AS q3 FROM s")
+add("agg_quantile_exclusive", lambda t: t.spark.range(1).select(*[r2(F.lit(v)).alias(f"q{i}") for i, v in enumerate(stats.quantiles_exclusive(t.supplier, "s_acctbal", [0.25, 0.5, 0.75]), 1)]), "WITH s AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) AS i, count(*) OVER () AS n FROM supplier), " + ", ".join(f"k{j} AS (SELECT max(CASE WHEN i = floor((n + 1) * {q}) THEN x END) AS lo, max(CASE WHEN i = floor((n + 1) * {q}) + 1 THEN x END) AS hi, max((n + 1) * {q} - floor((n + 1) * {q})) AS f FROM s)" for j, q in enumerate((0.25, 0.5, 0.75), 1)) + " SELECT " + ", ".join(f"round(k{j}.lo + k{j}.f * (k{j}.hi - k{j}.lo), 2) AS q{j}" for j in (1, 2, 3)) + " FROM k1, k2, k3")
+add("agg_quartiles_plain", lambda t: t.spark.range(1).select(*[F.lit(v).alias(n) for n, v in zip(("q1", "q3"), stats.order_statistics(t.part, "p_retailprice", lambda n: [(n + 1) // 4, 3 * (n + 1) // 4]), strict=True)]), "WITH s AS (SELECT list_sort(list(p_retailprice)) AS v FROM part) SELECT v[floor((len(v) + 1) / 4)::INT] AS q1, v[floor(3 * (len(v) + 1) / 4)::INT] AS q3 FROM s")
 add("agg_spread", lambda t: t.lineitem.groupBy("l_returnflag").agg(*[F.round(f("l_quantity"), 4).alias(n) for n, f in (("sd", F.stddev_samp), ("var", F.var_samp), ("sd_pop", F.stddev_pop), ("var_pop", F.var_pop))]), "SELECT l_returnflag, round(stddev_samp(l_quantity), 4) AS sd, round(var_samp(l_quantity), 4) AS var, round(stddev_pop(l_quantity), 4) AS sd_pop, round(var_pop(l_quantity), 4) AS var_pop FROM lineitem GROUP BY 1")
 add("agg_mode", lambda t: stats.mode(t.lineitem, ["l_returnflag"], "l_quantity"), "SELECT l_returnflag, l_quantity AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_quantity) AS k FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE k = 1")
 add("agg_shape", lambda t: t.orders.agg(F.round(num.adjusted_skew(c("o_totalprice")), 4).alias("skew"), F.round(num.adjusted_kurtosis(c("o_totalprice")), 4).alias("kurt")), "SELECT round(skewness(o_totalprice), 4) AS skew, round(kurtosis(o_totalprice), 4) AS kurt FROM orders")
@@ -93,7 +93,7 @@ add("agg_skew_population", lambda t: t.orders.agg(F.round(F.skewness("o_totalpri
 add("agg_corr_covar_regression", lambda t: t.lineitem.groupBy("l_returnflag").agg(F.round(num.safe_corr(c("l_quantity"), c("l_extendedprice")), 6).alias("r"), r2(F.covar_samp("l_quantity", "l_extendedprice")).alias("cov"), r2(F.regr_slope("l_extendedprice", "l_quantity")).alias("slope"), r2(F.regr_intercept("l_extendedprice", "l_quantity")).alias("intercept"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r_squared")), "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_quantity, l_extendedprice), 2) AS cov, round(regr_slope(l_extendedprice, l_quantity), 2) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared FROM lineitem GROUP BY 1")
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 add("agg_corr_pairs", lambda t: stats.correlation_pairs(t.lineitem, LI, 4), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, r, CASE WHEN abs(r) >= .9 THEN 'very strong' WHEN abs(r) >= .7 THEN 'strong' WHEN abs(r) >= .5 THEN 'moderate' WHEN abs(r) >= .3 THEN 'weak' ELSE 'none' END AS strength FROM (SELECT round(corr({a}, {b}), 4) AS r FROM lineitem)" for i, a in enumerate(LI) for b in LI[i + 1 :]))
-add("agg_spearman", lambda t: t.part.select(stats.average_rank("p_size").alias("a"), stats.average_rank("p_retailprice").alias("b")).agg(F.round(F.corr("a", "b"), 6).alias("rho")), "SELECT round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part)")
+add("agg_spearman", lambda t: stats.average_ranks(stats.average_ranks(t.part, "p_size", "a"), "p_retailprice", "b").agg(F.round(F.corr("a", "b"), 6).alias("rho")), "SELECT round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part)")
 add("agg_conditional_mean", lambda t: t.events.groupBy("event_type").agg(F.round(F.avg((c("value") > 50).cast("int")), 6).alias("share")), "SELECT event_type, round(avg((value > 50)::INT), 6) AS share FROM events GROUP BY 1")
 add("agg_computed_key", lambda t: t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")), "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
 add("agg_dependent_keys", lambda t: t.part.join(t.lineitem, c("p_partkey") == c("l_partkey")).groupBy("p_partkey", "p_brand", "p_retailprice").agg(r2(F.sum("l_extendedprice") - c("p_retailprice") * F.sum("l_quantity")).alias("margin")), "SELECT p_partkey, p_brand, p_retailprice, round(sum(l_extendedprice) - p_retailprice * sum(l_quantity), 2) AS margin FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2, 3")

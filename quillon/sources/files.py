@@ -132,7 +132,7 @@ def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def time_spine(spark: SparkSession, start: str, end: str, step: str) -> DataFrame:
     """(ts): every step from start to end, both included."""
-    return spark.sql("SELECT explode(sequence(timestamp'" + start + "', timestamp'" + end + f"', interval {step})) AS ts")
+    return spark.sql("SELECT explode(sequence(timestamp(:a), timestamp(:b), cast(:step AS interval))) AS ts", args={"a": start, "b": end, "step": step})
 
 
 def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,12 @@ def csv_safe(df: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Records as JSON lines; returns metadata (rows, columns, types) as a JSON text."""
-    df.write.mode(mode).json(path)
-    return json.dumps({"total_records": df.sparkSession.read.json(path).count(), "columns": df.columns, "data_types": dict(df.dtypes)})
+    """Records as JSON lines; metadata (rows, columns, types) as a JSON text, written beside them to path.meta."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    meta = json.dumps({"total_records": rows.get["n"], "columns": df.columns, "data_types": dict(df.dtypes)})
+    df.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode(mode).text(f"{path}.meta")
+    return meta
 
 
 def split_by(df: DataFrame, column: str, path: str) -> DataFrame:

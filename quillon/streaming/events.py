@@ -34,11 +34,21 @@ def sessions(df: DataFrame, ts: str, gap: str, key: str) -> DataFrame:
     return df.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is now, into a table in memory; for tests and reports of bounded size."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now; the rows of its batches, or of the last one in complete mode, from files below out.
+
+    A batch that is run again after a failure overwrites its own folder.
+    """
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last.append(number)
+
+    query = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    found = df.sparkSession.read.parquet(out)
+    return (found.where(F.col("batch") == max(last)) if mode == "complete" and last else found).select(*df.columns)
 
 
 def micro_batches(df: DataFrame, handle, checkpoint: str) -> None:

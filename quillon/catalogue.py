@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import Tables, checks, relational, scalars
+from .queries import Tables, checks, cleaning, extras, relational, scalars
 
-PARTS = (relational.R, scalars.R, checks.R)
+PARTS = (relational.R, scalars.R, checks.R, cleaning.R, extras.R)
 
 
 def _runner(make) -> Callable[[SparkSession, str], DataFrame]:

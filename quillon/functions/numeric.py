@@ -85,3 +85,16 @@ def normal_cdf(x: Column) -> Column:
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     erf = 1 - poly * F.exp(-z * z)
     return F.when(x >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+
+
+def beta_pdf(x: Column, a: float, b: float) -> Column:
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    return F.pow(x, F.lit(a - 1)) * F.pow(1 - x, F.lit(b - 1)) * scale
+
+
+def smallest_type(c: str) -> Column:
+    """The smallest whole-number type that holds a column (aggregate)."""
+    out = F.when(F.lit(False), "")
+    for name, bits in (("tinyint", 7), ("smallint", 15), ("int", 31)):
+        out = out.when((F.max(c) < 2**bits) & (F.min(c) >= -(2**bits)), name)
+    return out.otherwise("bigint")

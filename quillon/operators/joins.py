@@ -54,30 +54,6 @@ def add_aligned(a: DataFrame, b: DataFrame, key: str, value: str, fill: float =
     return a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full").select(key, (F.coalesce("_a", F.lit(fill)) + F.coalesce("_b", F.lit(fill))).alias(value))
 
 
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: tuple[Column, Column], score: Column, least: float) -> DataFrame:
-    """For each left row the right row of its block with the highest score, ties to the smaller identifier.
-
-    Rows without a partner at or above ``least`` are kept with status REVIEW NEEDED.  score reads
-    columns of both sides; right columns must not clash with left ones.
-    """
-    pairs = left.withColumn("_block", block[0]).join(right.withColumn("_block", block[1]), "_block").withColumn("score", score)
-    best = pairs.groupBy(left_id).agg(F.max_by(F.struct("score", F.col(right_id)), F.struct("score", -F.xxhash64(right_id), F.col(right_id))).alias("_b"))
-    return left.join(best, left_id, "left").select(*left.columns, F.when(F.col("_b.score") >= least, F.col(f"_b.{right_id}")).alias(right_id), F.col("_b.score").alias("score"), F.when(F.col("_b.score") >= least, "MATCHED").otherwise("REVIEW NEEDED").alias("status"))
-
-
-def fuzzy_groups(df: DataFrame, id_col: str, block: Column, score, least: float) -> DataFrame:
-    """(id, leader): each row goes to the smallest row of its block that resembles it, itself if none does.
-
-    score(a, b) gives a Column on the prefixed columns a_* and b_*.
-    """
-    base = df.withColumn("_block", block)
-    a = base.select("_block", *[F.col(c).alias(f"a_{c}") for c in df.columns])
-    b = base.select("_block", *[F.col(c).alias(f"b_{c}") for c in df.columns])
-    pairs = a.join(b, "_block").where(F.col(f"a_{id_col}") < F.col(f"b_{id_col}")).where(score("a_", "b_") >= least)
-    lead = pairs.groupBy(F.col(f"b_{id_col}").alias(id_col)).agg(F.min(f"a_{id_col}").alias("leader"))
-    return df.select(id_col).join(lead, id_col, "left").select(id_col, F.coalesce("leader", id_col).alias("leader"))
-
-
 def overlap(frames: list[DataFrame], column: str) -> DataFrame:
     """Values that all frames have."""
     return reduce(lambda a, b: a.intersect(b), [f.select(column).where(F.col(column).isNotNull()) for f in frames])

@@ -118,3 +118,18 @@ def select_types(df: DataFrame, family: str) -> list[str]:
     """Columns of a family: number, text, time."""
     kinds = {"number": ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"), "text": ("string",), "time": ("date", "timestamp")}[family]
     return [c for c, t in df.dtypes if t.startswith(kinds)]
+
+
+def run_health(log: DataFrame) -> DataFrame:
+    """(job, success, mean_seconds, slow, failures_in_row) of a run log (job, run, ok, seconds).
+
+    Slow runs take over 1.5 times the job's mean; failures_in_row is the longest streak.
+    """
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("job").orderBy("run")
+    mean = log.groupBy("job").agg(F.avg("seconds").alias("_mean"))
+    ends = log.withColumn("_good", F.sum(F.col("ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    streaks = ends.where("not ok").groupBy("job", "_good").agg(F.count("*").alias("_n")).groupBy("job").agg(F.max("_n").alias("_streak"))
+    per = log.join(mean, "job").groupBy("job").agg(F.round(F.avg(F.col("ok").cast("int")) * 100, 4).alias("success"), F.round(F.first("_mean"), 4).alias("mean_seconds"), F.count_if(F.col("seconds") > 1.5 * F.col("_mean")).alias("slow"))
+    return per.join(streaks, "job", "left").select("job", "success", "mean_seconds", "slow", F.coalesce("_streak", F.lit(0)).alias("failures_in_row"))

@@ -77,7 +77,6 @@ add("join_add_aligned", lambda t: joins.add_aligned(t.customer.groupBy(c("c_nati
 add("join_map_back", lambda t: t.part.select("p_partkey", r2(c("p_retailprice") - F.avg("p_retailprice").over(W.partitionBy("p_brand"))).alias("over_mean")), "SELECT p_partkey, round(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand), 2) AS over_mean FROM part")
 add("join_upsert", lambda t: joins.upsert(t.supplier.select("s_suppkey", "s_acctbal"), t.supplier.where("s_acctbal < 2000").select(F.when(c("s_acctbal") < 0, -1 - c("s_suppkey")).otherwise(c("s_suppkey")).alias("s_suppkey"), F.lit(0.0).alias("s_acctbal")), ["s_suppkey"]), "WITH n AS (SELECT CASE WHEN s_acctbal < 0 THEN -1 - s_suppkey ELSE s_suppkey END AS s_suppkey, 0.0::DOUBLE AS s_acctbal FROM supplier WHERE s_acctbal < 2000) SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n")
 add("join_delete_cascade", lambda t: joins.delete_cascade(c("c_acctbal") < 0, t.customer, "c_custkey", [(t.orders, "o_custkey")])[1].select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
-add("join_best_match", lambda t: joins.best_match(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), "c_custkey", "s_suppkey", (c("c_nationkey"), c("s_nationkey")), -F.abs(c("c_acctbal") - c("s_acctbal")), -1000).select("c_custkey", "status"), "SELECT c_custkey, CASE WHEN min(abs(c_acctbal - s_acctbal)) <= 1000 THEN 'MATCHED' ELSE 'REVIEW NEEDED' END AS status FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
 
 # --- aggregations
 add("agg_counts", lambda t: t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(c("o_orderstatus") == "F").alias("n_filled"), F.sum(F.when(c("o_totalprice") > 100000, 1).otherwise(0)).alias("n_large"), F.countDistinct("o_custkey").alias("n_customers"), F.count(F.when(c("o_totalprice") > 200000, 1)).alias("n_top")), "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_filled, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::BIGINT AS n_large, count(DISTINCT o_custkey) AS n_customers, count(CASE WHEN o_totalprice > 200000 THEN 1 END) AS n_top FROM orders GROUP BY 1")

@@ -12,7 +12,7 @@ from quillon import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
-SLOW = {"graph_reachable", "graph_cycles", "ft_kmeans_sizes"}
+SLOW = {"ft_kmeans_sizes"}
 
 
 @pytest.fixture(scope="module")

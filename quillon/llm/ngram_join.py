@@ -74,7 +74,7 @@ def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         total = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * power[:-1])]
         word = mixed((total[stop] - total[start]) * np.cumprod(np.r_[np.uint64(1), np.full(len(raw), _INV)])[start])
         run = np.zeros(len(word), np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(word))):
             run[: len(word) - k] = run[: len(word) - k] * _P + word[k:]
         run = mixed(run)
     out, sizes = [], []

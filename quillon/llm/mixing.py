@@ -87,7 +87,7 @@ def balance(hist: DataFrame, aims: DataFrame, most: float, few: bool, rounds: in
     narrowed = ("*", "if(not _d and _sum < _goal, _at, _low) as _l", "if(not _d and _sum >= _goal, _at, _high) as _h")
     away = "case when _l > double('-inf') and _h < double('inf') then (_l + _h) / 2 when _sum < _goal then 2 * _at + 1 else 2 * _at - 1 end"
     # a bracket of neighbouring numbers can't be narrowed further
-    stuck = "_h - _l <= 1e-15 * greatest(abs(_l), abs(_h))"
+    stuck = "_l > double('-inf') and _h < double('inf') and _h - _l <= 1e-15 * greatest(abs(_l), abs(_h))"
     after = (*aims.columns, "_mean", "_docs", "_fixed", "_goal", f"case when _d then _at when _step > _l and _step < _h then _step else {away} end as _at", "_l as _low", "_h as _high", f"_d or coalesce({stuck}, false) as _done")
     for k in range(rounds):
         if k != 1 and state.where("not _done").isEmpty():

@@ -86,6 +86,11 @@ def t_tails(t: Column, dof: Column) -> Column:
     return _each(lambda x, v: beta_share(v / (v + x * x), v / 2, 0.5), t, dof)
 
 
+def corr_tails(r: Column, n: Column) -> Column:
+    """P of a greater correlation, by size, of n pairs that are independent."""
+    return _each(lambda x, k: beta_share(min(1.0, max(0.0, 1 - x * x)), (k - 2) / 2, 0.5) if k > 2 else 1.0, r, n)
+
+
 def chi2_tail(x: Column, dof: Column) -> Column:
     return _each(lambda v, k: gamma_tail(k / 2, v / 2), x, dof)
 

@@ -124,7 +124,7 @@ def distribution_report(df: DataFrame, column: str, digits: int = 4) -> DataFram
     values = cut(df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")))
     mode = values.agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("mode"))
     stat = df.agg(
-        r(F.avg(c)).alias("mean"), r(F.lit(mid).cast("double")).alias("median"), r(F.stddev_samp(c)).alias("std"), r(F.skewness(c)).alias("skew"), r(F.kurtosis(c)).alias("kurtosis"),
+        r(F.avg(c)).alias("mean"), r(F.lit(mid).cast("double")).alias("median"), r(F.stddev_samp(c)).alias("std"), (r(F.skewness(c)) + F.lit(0.0)).alias("skew"), r(F.kurtosis(c)).alias("kurtosis"),
         r(F.avg(((c < F.lit(low)) | (c > F.lit(high))).cast("double")) * 100).alias("outlier_pct"),
     )
     s, k = F.abs("skew"), F.col("kurtosis")

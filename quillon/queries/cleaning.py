@@ -170,7 +170,7 @@ add(
     "agg_distribution_report",
     lambda t: cl.distribution_report(t.part, "p_retailprice", 3),
     f"""WITH b AS (SELECT avg(p_retailprice) AS a, quantile_cont(p_retailprice, .25) AS q1, quantile_cont(p_retailprice, .75) AS q3 FROM part), s AS (SELECT round(avg(p_retailprice), 3) AS mean,
-        round(median(p_retailprice), 3) AS median, round(stddev_samp(p_retailprice), 3) AS std, round(avg(power(p_retailprice - a, 3)) / power(stddev_pop(p_retailprice), 3), 3) AS skew,
+        round(median(p_retailprice), 3) AS median, round(stddev_samp(p_retailprice), 3) AS std, round(avg(power(p_retailprice - a, 3)) / power(stddev_pop(p_retailprice), 3), 3) + 0.0 AS skew,
         round(avg(power(p_retailprice - a, 4)) / power(stddev_pop(p_retailprice), 4) - 3, 3) AS kurtosis,
         round(avg((p_retailprice < q1 - 1.5 * (q3 - q1) OR p_retailprice > q3 + 1.5 * (q3 - q1))::INT) * 100, 3) AS outlier_pct FROM part, b),
         m AS (SELECT p_retailprice AS mode FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT *, {SHAPE} AS shape FROM s, m""",
@@ -298,32 +298,30 @@ add(
 def correlations(t):
     pairs = (("p_size", "p_retailprice"), ("p_size", "p_partkey"), ("p_retailprice", "p_partkey"))
     one = t.part.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count("*").alias("n")) for a, b in pairs]).alias("x")).select(F.inline("x"))
-    t_of = c("r") * F.sqrt((c("n") - 2) / (1 - c("r") * c("r")))
-    tested = one.withColumn("p", dist.t_tails(t_of, c("n") - 2))
+    tested = one.withColumn("p", dist.corr_tails(c("r"), c("n")))
     return tested.select("a", "b", r("r", 5).alias("r"), r("p", 5).alias("p"), (c("p") < 0.05 / len(pairs)).alias("bonferroni"))
 
 
-CORR_P = sql_t_tails("t", "(n - 2.0)")
+CORR_P = sql_beta("x", "((n - 2) / 2.0)", "0.5")
 add(
     "agg_corr_p",
     correlations,
     "WITH s AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM part" for a, b in (("p_size", "p_retailprice"), ("p_size", "p_partkey"), ("p_retailprice", "p_partkey")))
-    + f"), u AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM s), p AS (SELECT a, b, r, {CORR_P} AS p FROM u) SELECT a, b, round(r, 5) AS r, round(p, 5) AS p, p < .05 / 3 AS bonferroni FROM p",
+    + f"), u AS (SELECT *, least(1, greatest(0, 1 - r * r)) AS x FROM s), p AS (SELECT a, b, r, {CORR_P} AS p FROM u) SELECT a, b, round(r, 5) AS r, round(p, 5) AS p, p < .05 / 3 AS bonferroni FROM p",
 )
 
 
 def spearman_p(t):
     ranks = stats.average_ranks(stats.average_ranks(t.part, "p_size", "x"), "p_retailprice", "y")
     one = ranks.agg(F.corr("x", "y").alias("rho"), F.count("*").alias("n"))
-    t_of = c("rho") * F.sqrt((c("n") - 2) / (1 - c("rho") * c("rho")))
-    return one.withColumn("p", dist.t_tails(t_of, c("n") - 2)).select(r("rho", 5).alias("rho"), r("p", 5).alias("p"))
+    return one.withColumn("p", dist.corr_tails(c("rho"), c("n"))).select(r("rho", 5).alias("rho"), r("p", 5).alias("p"))
 
 
 add(
     "agg_spearman_p",
     spearman_p,
     f"""WITH k AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS y FROM part),
-        s AS (SELECT corr(x, y) AS rho, count(*) AS n FROM k), u AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM s) SELECT round(rho, 5) AS rho, round({CORR_P}, 5) AS p FROM u""",
+        s AS (SELECT corr(x, y) AS rho, count(*) AS n FROM k), u AS (SELECT *, least(1, greatest(0, 1 - rho * rho)) AS x FROM s) SELECT round(rho, 5) AS rho, round({CORR_P}, 5) AS p FROM u""",
 )
 KENDALL = """WITH g AS (SELECT p_size AS x, round(p_retailprice / 100)::INT AS y, count(*) AS n FROM part GROUP BY 1, 2), p AS (SELECT a.n * b.n AS w, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM g a, g b
     WHERE (a.x, a.y) <> (b.x, b.y)), z AS (SELECT sum(w * s) AS s, sum(w) FILTER (WHERE NOT tx) AS nx, sum(w) FILTER (WHERE NOT ty) AS ny FROM p) SELECT round(s / sqrt(nx::DOUBLE * ny), 6) AS tau FROM z"""
@@ -341,7 +339,7 @@ def kendall(t):
     total = pairs.agg(F.sum(c("n") * (c("up") - c("down"))).alias("s"), F.sum("n").alias("all"))
     ties = lambda k: cells.groupBy(k).agg(F.sum("n").alias("m")).agg(F.sum(c("m") * (c("m") - 1) / 2).alias(f"t{k}"))
     pairs_of = c("all") * (c("all") - 1) / 2
-    return total.crossJoin(ties("x")).crossJoin(ties("y")).select(r(c("s") / F.sqrt((pairs_of - c("tx")) * (pairs_of - c("ty"))), 6).alias("tau"))
+    return total.crossJoin(ties("x")).crossJoin(ties("y")).select(r(F.try_divide(c("s"), F.sqrt((pairs_of - c("tx")) * (pairs_of - c("ty")))), 6).alias("tau"))
 
 
 add("agg_kendall", kendall, KENDALL)

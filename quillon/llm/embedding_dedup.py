@@ -19,7 +19,7 @@ Results in special cases: vectors that are null, empty, zero or hold null or non
 components, and rows with a null label or identifier, link with nothing and are their own
 component.  Vectors of different lengths don't link.  Rows that repeat an identifier are one
 vector, the least in order; each gets its result.  An empty table gives an empty result.  Only
-named columns are read.
+named columns are read.  Identifiers are whole numbers, or text of such; others raise.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     words = words or int(np.clip(round((members.count() / 200) ** 0.5), 4, 2048))
     chosen = members.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     picked = members.select("_dim", "_vec", "_id").join(F.broadcast(chosen), "_id").toArrow().sort_by("_id")
-    dims = [r[0] for r in members.select("_dim").distinct().limit(10_000).collect()]
+    dims = [r[0] for r in members.select("_dim").distinct().collect()]  # each length has a codebook
     for dim in dims:
         own = [x for x, d in zip(picked["_vec"].to_pylist(), picked["_dim"].to_pylist(), strict=True) if d == dim]
         if not own:

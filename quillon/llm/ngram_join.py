@@ -22,6 +22,7 @@ Results in special cases: null, empty and wordless texts link with nothing.  Row
 identifier link with nothing and are their own class (null).  Rows that repeat an identifier
 are one document, that with the smallest set digest; each gets its result.  Equal texts are
 links of each other.  An empty table gives an empty result.  Only named columns are read.
+Identifiers are whole numbers, or text of such; others raise.
 """
 
 from __future__ import annotations

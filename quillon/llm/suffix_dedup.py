@@ -30,7 +30,8 @@ that length and lose nothing.  A null identifier comes after all
 others.  Rows that repeat identifier and text are one document, each gets its result; of
 different texts with one identifier the one with the smaller SHA-256 (its first 28 bits, which
 are also what tells the two apart) counts as earlier.  An
-empty table gives an empty result.  Only named columns are read.
+empty table gives an empty result.  Only named columns are read.  Identifiers are whole numbers, or
+text of such; others raise.
 """
 
 from __future__ import annotations

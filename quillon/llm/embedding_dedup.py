@@ -140,7 +140,7 @@ def tile_links(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray,
     return ids[q], close @ weight[f], every[reach(linked)][place[q]]
 
 
-def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, words: int | None = None, recall: float = 1.0, tile: int = 128, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, words: int | None = None, recall: float = 1.0, tile: int = 512, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept.
 
     words: codewords a half; by default so many that a cell holds about 200 vectors, 4 to 2,048.

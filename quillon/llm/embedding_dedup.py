@@ -6,7 +6,9 @@ filed in the cell of its two nearest codewords.  A query visits cells in the ord
 bound on the distance to anything filed there: for each half the distance to the plane between
 the nearest codeword and the cell's one, the squares added up, as a multi-sequence traversal of
 the two sorted lists.  It ends where the bound exceeds the distance that the wanted cosine
-allows, so that every pair meets.  A ``recall`` below 1 ends it earlier, at the bound within which
+allows, so that every pair meets.  The bound holds from both sides of a pair, so of two cells
+only the vectors of the lower numbered one visit the other, and a tile counts for both sides;
+a vector's own cell is visited by all of its vectors.  A ``recall`` below 1 ends it earlier, at the bound within which
 that share of the sample's vectors, turned by that angle in random directions, meet; pairs that
 differ within a subspace of few dimensions cross more borders and are lost more often than that.
 Visited vectors are verified in double precision.
@@ -118,8 +120,12 @@ class MultiIndex:
 
 
 def tile_links(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, links, least reached id) of a tile's queries against its filed vectors."""
-    filed = group["_filed"].to_numpy(zero_copy_only=False)
+    """(ids, links, least reached id) of a tile's queries against its filed vectors.
+
+    Queries from other cells count for the filed vectors too; those filed in the cell itself don't,
+    as each of such a pair is a query.
+    """
+    filed, home = (group[c].to_numpy(zero_copy_only=False) for c in ("_filed", "_home"))
     ids, weight, dim = group["_id"].to_numpy(), group["_weight"].to_numpy(), group["_dim"][0].as_py()
     raw = group["_vec"].to_pylist()
     x = unit(raw, dim)
@@ -137,13 +143,15 @@ def tile_links(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray,
     linked = np.zeros((len(every), len(every)), bool)
     a, b = np.nonzero(close)
     linked[place[q[a]], place[f[b]]] = linked[place[f[b]], place[q[a]]] = True
-    return ids[q], close @ weight[f], every[reach(linked)][place[q]]
+    least = every[reach(linked)]
+    guests = ~home[q]
+    return np.r_[ids[q], ids[f]], np.r_[close @ weight[f], close[guests].T @ weight[q][guests]], np.r_[least[place[q]], least[place[f]]]
 
 
 def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, words: int | None = None, recall: float = 1.0, tile: int = 512, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept.
 
-    words: codewords a half; by default so many that a cell holds about 200 vectors, 4 to 2,048.
+    words: codewords a half; by default so many that a cell holds about 200 vectors of a label, 4 to 2,048.
     recall: 1 meets all pairs; less is a share of pairs at exactly the wanted cosine, in random directions.
     label_col: only vectors with equal, not null labels link; None compares all.
     """
@@ -161,7 +169,10 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     packed = cut(known.mapInArrow(pack, "_id long, _label string, _dim int, _vec binary"))
     members = cut(packed.groupBy("_label", "_dim", "_vec").agg(F.min("_id").alias("_id"), F.count("*").alias("_weight")))
     books: dict[int, tuple[MultiIndex, float]] = {}
-    words = words or int(np.clip(round((members.count() / 200) ** 0.5), 4, 2048))
+    if not words:
+        # cells are compared label by label: what counts is the size of a vector's label, on average
+        sizes = members.groupBy("_label", "_dim").agg(F.count("*").cast("double").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 0
+        words = int(np.clip(round((sizes / 200) ** 0.5), 4, 2048))
     chosen = members.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     picked = members.select("_dim", "_vec", "_id").join(F.broadcast(chosen), "_id").toArrow().sort_by("_id")
     dims = [r[0] for r in members.select("_dim").distinct().collect()]  # each length has a codebook
@@ -183,11 +194,13 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
                     batch = part.filter(pa.array(dim_of == dim))
                     index, most = shared.value[int(dim)]
                     own, row, cell = index.visits(unit(batch.column(2).to_pylist(), int(dim)), most)
+                    row, cell = row[cell >= own[row]], cell[cell >= own[row]]
                     n = batch.num_rows
                     take = batch.take(pa.array(np.r_[np.arange(n), row]))
-                    yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array(np.r_[own, cell]), pa.array(np.r_[np.ones(n, bool), np.zeros(len(row), bool)]), take.column(3), take.column(4)], names=["_label", "_dim", "_cell", "_filed", "_id", "_weight"])
+                    filed, home = np.r_[np.ones(n, bool), np.zeros(len(row), bool)], np.r_[np.ones(n, bool), cell == own[row]]
+                    yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array(np.r_[own, cell]), pa.array(filed), pa.array(home), take.column(3), take.column(4)], names=["_label", "_dim", "_cell", "_filed", "_home", "_id", "_weight"])
 
-    filed = cut(members.select("_label", "_dim", "_vec", "_id", "_weight").mapInArrow(file, "_label string, _dim int, _cell long, _filed boolean, _id long, _weight long"))
+    filed = cut(members.select("_label", "_dim", "_vec", "_id", "_weight").mapInArrow(file, "_label string, _dim int, _cell long, _filed boolean, _home boolean, _id long, _weight long"))
     cell = ["_label", "_dim", "_cell"]
     counts = filed.groupBy(*cell).agg(F.count_if(F.col("_filed")).alias("_f"), F.count_if(~F.col("_filed")).alias("_q"))
     # cells that hold nothing, or nothing but their only visitor, need no look
@@ -196,7 +209,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     mine = lambda n: F.pmod(F.xxhash64("_id", F.lit(5)), F.col(n)).cast("int")
     as_filed = placed.where("_filed").select("*", mine("_ft").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_qt") - 1)).alias("_b"))
     as_query = placed.where("not _filed").select("*", F.explode(F.sequence(F.lit(0), F.col("_ft") - 1)).alias("_a"), mine("_qt").alias("_b"))
-    tiles = as_filed.unionByName(as_query).join(members.select("_id", "_vec").hint("merge"), "_id").select(*cell, "_a", "_b", "_filed", "_id", "_weight", "_vec")
+    tiles = as_filed.unionByName(as_query).join(members.select("_id", "_vec").hint("merge"), "_id").select(*cell, "_a", "_b", "_filed", "_home", "_id", "_weight", "_vec")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 5):

@@ -40,7 +40,7 @@ def byte_chars() -> list[str]:
 class WordBpe:
     """A tokenizers file whose model is BPE over byte characters with a word-end suffix."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 100_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -206,7 +206,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
+            for start, texts in slices(batch.column(1), 1_000_000):  # pieces and ids take some 30 bytes a character
                 flat, counts = bpe.encode_batch(texts)
                 stops = np.cumsum(counts)
                 parts = [flat[b - n : b] for b, n in zip(stops, counts, strict=True)]

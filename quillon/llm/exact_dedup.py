@@ -13,7 +13,8 @@ holds its rows together.  The way back is a join on (leaf, digest), as even.
 
 Equal means, at every level: same SHA-256, same length, same independent 64-bit hash.
 
-Texts are read once for their digests.  The number of leaves follows from the number of rows.
+Texts are read once for their digests.  The number of leaves follows from the number of
+rows (``levels``), so that a small table isn't written in as many files as a large one.
 
 Results in special cases: a null text is the empty text.  A null identifier is the least; a
 group of null identifiers keeps one row, with a null keep_id.  Of repeated rows (same
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut, whole, width
 
 KEY = ["_digest", "_bytes", "_check"]
-#: Rows that a leaf is made for.
-LEAF = 4_000_000
+#: Most rows that a leaf is made for, and fewest where the table alone decides.
+LEAF, LEAST = 4_000_000, 50_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,6 +82,11 @@ def merged(runs: DataFrame, keys: list[str], *best: F.Column) -> DataFrame:
     return sorted_.mapInArrow(lambda batches: fold(batches, len(keys)), sorted_.schema)
 
 
+def levels(rows: int, cores: int, shuffle: int) -> int:
+    """Levels of the tree: a leaf for each core, one for each shuffle partition that would get LEAST rows, and more once leaves would pass LEAF rows."""
+    return max(1, math.ceil(math.log2(max(cores, min(shuffle, rows / LEAST), rows / LEAF, 2))))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", span: int = 4) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -89,7 +95,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     best = {"max": F.col("_id").desc_nulls_last(), "min": F.col("_id").asc_nulls_last()}[keep]
     entries = cut(keyed(docs, id_col, text_col).withColumn("_n", F.lit(1).cast("long")))
-    bits = max(1, math.ceil(math.log2(max(width(docs.sparkSession), entries.count() / LEAF, 2))))
+    spark = docs.sparkSession
+    bits = levels(entries.count(), spark.sparkContext.defaultParallelism, width(spark))
     parts = 1 << bits
     # null identifiers may be very many, and of many texts
     leaf = F.pmod(F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_digest"))), F.lit(parts)).cast("int")

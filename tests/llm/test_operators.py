@@ -48,6 +48,11 @@ def test_components_match_union_find(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "cores", "shuffle", "leaves"), [(0, 1, 200, 2), (1000, 6, 200, 8), (230_000, 6, 64, 8), (15_000_000, 6, 200, 256), (4_000_000_000, 900, 200, 1024), (50_000_000_000, 900, 200, 16384)])
+def test_exact_dedup_leaves(rows, cores, shuffle, leaves):
+    assert 2 ** exact_dedup.levels(rows, cores, shuffle) == leaves
+
+
 @pytest.mark.parametrize("keep", ["max", "min"])
 def test_exact_dedup(spark, keep):
     rows = ODD + [(100 + k, f"copy {k % 7}", "s") for k in range(200)]

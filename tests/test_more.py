@@ -6,12 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import catalogue
 from quillon.functions import distributions as dist
 from quillon.operators import cleaning, graph, joins, matching, quality, stats, timeseries
 from quillon.plans import flow, rules
 from quillon.sources import files, workbooks
 from quillon.streaming import events
 
+QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
+
 
 def one(df):
     return df.collect()[0]
@@ -58,6 +61,41 @@ def test_near_pairs_and_greedy_groups(spark):
     assert dict(map(tuple, matching.greedy_groups(df, "id", pairs).collect())) == leader
 
 
+def test_greedy_groups_by_rounds_and_in_one_task(spark):
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)} | {(i, i + 1) for i in range(80, 99)})
+    leader = {}
+    for i in range(100):
+        if i not in leader:
+            leader[i] = i
+            for a, b in pairs:
+                if a == i:
+                    leader.setdefault(b, i)
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for most in (0, 40, 500_000):
+        assert dict(map(tuple, matching.greedy_groups(spark.range(100), "id", df, most).collect())) == leader
+
+
+def fuzzy_tables(spark, folder):
+    """Customers of distinct names, copies of names over segments and nations, a gap of one character, an empty name, nulls."""
+    names = [f"Customer#{i:09d}" for i in range(200)] + [f"Customer#{i:09d}" for i in range(5)] * 3 + ["Customer#00000000", "", "x", None]
+    rows = [(i, n, i % 2 if n else 0, "AB"[i % 3 == 0]) for i, n in enumerate(names)] + [(900, "x", None, "A")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    return rows
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dup_fuzzy_groups_broadcasts_no_keys(spark, tmp_path):
+    fuzzy_tables(spark, tmp_path)
+    customer = spark.read.parquet(f"{tmp_path}/customer.parquet")
+    assert "Broadcast" not in plan_of(matching.near_pairs(customer, "c_custkey", "c_name", ["c_nationkey"]))
+    leaders = dict(map(tuple, QUERIES["dup_fuzzy_groups"](spark, str(tmp_path)).collect()))
+    assert len(leaders) == customer.count() and leaders[200] == leaders[0] == 0 and leaders[900] == 900
+
+
 def test_cycles_of_any_length(spark):
     n = 300
     ring = [(k, (k + 1) % n) for k in range(n)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 5), (3000, 3000), (4000, None)]

@@ -97,7 +97,7 @@ def test_dup_fuzzy_groups_broadcasts_no_keys(spark, tmp_path):
     assert len(leaders) == customer.count() and leaders[200] == leaders[0] == 0 and leaders[900] == 900
 
 
-@pytest.mark.parametrize("name", ["join_fuzzy_pairs"])
+@pytest.mark.parametrize("name", ["join_fuzzy_pairs", "join_fuzzy_key"])
 def test_fuzzy_queries_equal_their_sql_on_copies(spark, tmp_path, name):
     fuzzy_tables(spark, tmp_path)
     got = QUERIES[name](spark, str(tmp_path))

@@ -30,6 +30,17 @@ def test_tails(spark):
     assert row.c10 == pytest.approx(0.05, abs=1e-4) and row.z == pytest.approx(0.05, abs=1e-4) and row.k == pytest.approx(0.0494, abs=1e-3) and row.none is None
 
 
+def test_merge_suffixes_is_spread_and_whole(spark, tmp_path):
+    spark.range(300).selectExpr("cast(nullif(id % 3, 2) as int) c_nationkey", "concat('c', id % 50) c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).selectExpr("cast(nullif(id % 4, 2) as int) s_nationkey", "concat('s', id % 7) s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["join_merge_suffixes"](spark, str(tmp_path))
+    assert got.columns == ["key", "name_x", "name_y"] and got.rdd.getNumPartitions() > 100
+    duck = duckdb.connect()
+    for t in ("customer", "supplier"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(map(tuple, got.collect())) == sorted(duck.execute(ORACLE["join_merge_suffixes"]).fetchall())
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -30,6 +30,20 @@ def test_tails(spark):
     assert row.c10 == pytest.approx(0.05, abs=1e-4) and row.z == pytest.approx(0.05, abs=1e-4) and row.k == pytest.approx(0.0494, abs=1e-3) and row.none is None
 
 
+def test_anova_of_large_means(spark):
+    df = spark.createDataFrame([(g, 1e9 + x + g) for g in range(3) for x in (0, 1, 2, 3)], "g int, x double")
+    row = one(stats.anova(df, "g", "x").withColumn("p", dist.f_tail(F.col("f"), F.col("df_between"), F.col("df_within"))))
+    assert row.f == pytest.approx(2.4, rel=1e-6) and row.p == pytest.approx(0.146104, abs=1e-4)
+
+
+def test_f_tail_of_many_rows(spark):
+    """With four degrees between, P is x^h (1 + h (1 - x)) for h half of those within."""
+    for f, within in ((1.4191018602304444, 149995), (1.0, 8999995)):
+        x, h = within / (within + 4 * f), within / 2
+        want = math.exp(h * math.log(x)) * (1 + h * (1 - x))
+        assert one(spark.range(1).select(dist.f_tail(F.lit(f), F.lit(4), F.lit(within)).alias("p"))).p == pytest.approx(want, abs=1e-7)
+
+
 def test_merge_suffixes_is_spread_and_whole(spark, tmp_path):
     spark.range(300).selectExpr("cast(nullif(id % 3, 2) as int) c_nationkey", "concat('c', id % 50) c_name").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(40).selectExpr("cast(nullif(id % 4, 2) as int) s_nationkey", "concat('s', id % 7) s_name").write.parquet(f"{tmp_path}/supplier.parquet")

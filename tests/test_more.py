@@ -122,6 +122,34 @@ def test_dup_fuzzy_groups_broadcasts_no_keys(spark, tmp_path):
     assert len(leaders) == customer.count() and leaders[200] == leaders[0] == 0 and leaders[900] == 900
 
 
+def greedy_leaders(rows):
+    """A pass over all rows (id, text, block) in order, every row compared with every later one."""
+    leader = {}
+    for i, s, g in sorted(rows):
+        if leader.setdefault(i, i) == i and s is not None and g is not None:
+            for j, u, h in rows:
+                if j > i and h == g and u is not None and edit(s, u) <= 1:
+                    leader.setdefault(j, i)
+    return leader
+
+
+def test_dup_fuzzy_groups_follow_links_of_copies(spark, tmp_path):
+    rows = [(0, "x", 1), (1, "xy", 1), (2, "xy", 1), (3, "xyz", 1), (4, "x", 1), (5, "xyz", 1), (6, "xy", 2), (7, None, 1), (8, None, 1), (9, "x", None)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(map(tuple, QUERIES["dup_fuzzy_groups"](spark, str(tmp_path)).collect()))
+    assert got == sorted(greedy_leaders(rows).items()) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 0), (5, 3), (6, 6), (7, 7), (8, 8), (9, 9)]
+
+
+def test_near_groups_as_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None] + ["".join(rng.choices("abc", k=rng.randint(0, 4))) for _ in range(9)]), rng.choice([0, 1, 2, None])) for i in rng.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "id long, s string, g int")
+    want = greedy_leaders(rows)
+    for most in (0, 500_000):
+        assert sorted(map(tuple, matching.near_groups(df, "id", "s", ["g"], most).collect())) == sorted(want.items())
+    assert dict(map(tuple, matching.greedy_groups(df, "id", matching.all_near_pairs(df, "id", "s", ["g"])).collect())) == want
+
+
 @pytest.mark.parametrize("name", ["join_fuzzy_pairs", "join_fuzzy_key"])
 def test_fuzzy_queries_equal_their_sql_on_copies(spark, tmp_path, name):
     fuzzy_tables(spark, tmp_path)
